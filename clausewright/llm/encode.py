@@ -52,23 +52,24 @@ def _pre_tokens() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
-def _boundaries(text: str, start: int, end: int, whole: bool) -> list[int]:
+def _boundaries(text: str, start: int, end: int) -> list[int]:
     """Pre-token starts of text[start:end] as scanned from ``start``.
 
-    Unless the text ends at ``end``, a pre-token that touches the end could
-    reach further, and one before white space could be cut otherwise; both
-    are left out by keeping only starts before the last two pre-tokens.
+    A pre-token that touches the end could reach further, and one before it
+    could be cut otherwise; the last two starts are left out.
     """
-    found = [m.start() for m in _pre_tokens().finditer(text, start, end)]
-    return found if whole else found[:-2]
+    return [m.start() for m in _pre_tokens().finditer(text, start, end)][:-2]
 
 
 def sync_point(window: str, first: int, second: int, overlap: int) -> int | None:
-    """First boundary at or after ``second`` that scans from ``first`` and ``second`` share."""
+    """First boundary at or after ``second`` that scans from ``first`` and ``second`` share.
+
+    A boundary after white space is not taken: the piece before it would end
+    in white space and lose the sight of what follows it.
+    """
     end = min(len(window), second + overlap)
-    whole = end == len(window)
-    later = set(_boundaries(window, second, end, False))
-    return next((p for p in _boundaries(window, first, end, False) if p >= second and p in later), None) if not whole or later else None
+    later = set(_boundaries(window, second, end))
+    return next((p for p in _boundaries(window, first, end) if p >= second and p in later and not window[p - 1].isspace()), None)
 
 
 def split_points(length: int, chunk: int) -> list[int]:
