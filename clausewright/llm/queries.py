@@ -6,10 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canon, encode, fusion, packing, topn
+from ..storage import materialize
+from . import canon, encode, fusion, neardup, packing, topn
 
 SCORES = ["similarity", "bm25_score", "fusion_score", "reranker_score"]
 TOP = 5
+AGREEMENT = 0.75
+LEAST_WORDS = 20
+
+
+def _same_passage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    members = materialize(neardup.bags(table(spark, d, "chunks"), "chunk_id", "text", "search_vector", LEAST_WORDS))
+    return members, neardup.class_links(materialize(neardup.classes_of(members)), AGREEMENT)
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with the group of chunks that tell the same passage."""
+    members, links = _same_passage(spark, d)
+    return neardup.groups(table(spark, d, "chunks"), "chunk_id", members, links)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = _same_passage(spark, d)
+    return neardup.expand_pairs(members, links).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
 def p3_top_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -59,4 +78,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """All pN_ queries by name."""
-    return {f.__name__: f for f in (p3_found, p3_top_chunks, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_top_chunks, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}
