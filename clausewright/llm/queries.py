@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..storage import materialize
-from . import canon, encode, fusion, neardup, packing, topn
+from . import canon, encode, fusion, neardup, neighbours, packing, topn
 
 SCORES = ["similarity", "bm25_score", "fusion_score", "reranker_score"]
 TOP = 5
 AGREEMENT = 0.75
 LEAST_WORDS = 20
+NEIGHBOURS = 5
+CLOSE = 0.80
 
 
 def _same_passage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +43,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top_chunks(spark, d).select("query_id", "chunk_id")
 
 
+def _nearest(spark: SparkSession, d: str, least: float | None) -> DataFrame:
+    active = table(spark, d, "index_config").where("is_active").select("embedding_model", "dimension").first()  # the fixed table of two rows
+    rows = table(spark, d, "chunk_vectors").where(F.col("embedding_model") == active["embedding_model"])
+    return neighbours.nearest_vectors(rows, "chunk_id", "embedding", active["dimension"], NEIGHBOURS, least)
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar other vectors of every usable vector."""
+    return _nearest(spark, d, None).select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "similarity", "rank")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(_nearest(spark, d, CLOSE)).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
 def _ranking(spark: SparkSession, d: str) -> DataFrame:
     rows = fusion.latest_candidates(table(spark, d, "hybrid_results"), "query_id", "chunk_id", SCORES, "scored_at")
     return fusion.ideal_point_ranking(rows, len(SCORES))
@@ -78,4 +95,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """All pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_top_chunks, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}
