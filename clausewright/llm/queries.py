@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..storage import materialize
-from . import canon, encode, fusion, neardup, neighbours, packing, topn
+from . import canon, encode, fusion, neardup, neighbours, packing, split, topn
 
 SCORES = ["similarity", "bm25_score", "fusion_score", "reranker_score"]
 TOP = 5
@@ -33,6 +33,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand_pairs(members, links).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's text in pieces within the limits of its configuration."""
+    rows = table(spark, d, "chunk_config").collect()  # the fixed table of three rows
+    limits = {r["config_id"]: split.Limits(r["hard_max_tokens"], r["overlap_tokens"], r["embedding_max_tokens"]) for r in rows}
+    return split.split_rows(table(spark, d, "structure_nodes"), ["document_id", "ordinal"], "context_prefix", "text", "built_at", "config_id", limits, "default")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).where("oversized and piece = 0").select("document_id", "ordinal")
+
+
 def p3_top_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The five best chunks of every query, ranked."""
     scores = topn.latest_scores(table(spark, d, "semantic_results"), "query_id", "chunk_id", "similarity", "scored_at")
@@ -95,4 +106,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """All pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}

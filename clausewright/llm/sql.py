@@ -13,10 +13,20 @@ PLACES = ", ".join(
     for k, c in enumerate(("s", "b", "f", "r"))
 )
 
+# The token pattern with its classes spelled out, since \\w and \\s know only ASCII there.
+COUNT = r"len(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]'))"
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {
+        "p2_found": f"""
+            SELECT document_id, ordinal FROM (
+              SELECT *, {COUNT.format("n.text")} AS t, {COUNT.format("n.context_prefix")} AS p
+              FROM (SELECT *, row_number() OVER (PARTITION BY document_id, ordinal ORDER BY built_at DESC) AS k FROM structure_nodes) n
+              JOIN chunk_config c ON c.config_id = coalesce(n.config_id, 'default') WHERE k = 1)
+            WHERE t > hard_max_tokens OR p + t > embedding_max_tokens
+        """,
         "p3_top_chunks": f"SELECT * FROM ({TOP}) WHERE rank <= 5",
         "p3_found": f"SELECT query_id, chunk_id FROM ({TOP}) WHERE rank <= 5",
         "p5_found": f"""
