@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..storage import materialize
-from . import canon, encode, fusion, neardup, neighbours, packing, split, topn
+from . import canon, encode, fusion, neardup, neighbours, ocr, packing, split, topn
 
 SCORES = ["similarity", "bm25_score", "fusion_score", "reranker_score"]
 TOP = 5
@@ -83,6 +83,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.leaders(_ranking(spark, d), len(SCORES)).select(F.col("g").alias("query_id"), F.col("i").alias("chunk_id"))
 
 
+def _repair(spark: SparkSession, d: str) -> ocr.Repair:
+    return ocr.Repair(table(spark, d, "doc_pages"), "document_id", "page_number", "raw_text", "extracted_at")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repair(spark, d).found().select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), "kind", "item")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_table(table(spark, d, "documents"), "doc_id", "text", encode.vocabulary_path())
 
@@ -106,4 +114,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """All pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p7_ids, p8_bins, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p6_found, p7_ids, p8_bins, p9_found, p9_canonical)}
