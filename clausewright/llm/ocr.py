@@ -374,6 +374,64 @@ def corrections(forms: DataFrame, editor: Editor) -> DataFrame:
     return forms.join(best, "form", "left").select("form", "count", F.col("b.to").alias("fixed"), F.col("b.to_count").alias("fixed_count"))
 
 
+HEADING = re.compile(r"^(?:\d{1,2}(?:\.\d{1,2})*|[A-Z](?:\.\d+)+)\s+[A-Z][a-z]{2,}(?:\s[\w-]+){0,5}$")
+
+
+def like(token: str, form: str, item: str) -> str:
+    """``token`` with its word ``form`` written as ``item``, in the token's letter case."""
+    at = token.lower().find(form)
+    if at < 0:
+        return token
+    old = token[at : at + len(form)]
+    letters = [c for c in old if c.isalpha()]
+    new = item.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else item[:1].upper() + item[1:] if old[:1].isupper() else item
+    return token[:at] + new + token[at + len(form) :]
+
+
+def page_paragraphs(text: str, gone: set[int], fixes: dict[str, str], joins: dict[tuple[str, str], str], carry: str | None, skip: bool) -> tuple[list[str], bool]:
+    """A page's paragraphs, and whether the last one goes on over the page's end.
+
+    ``carry`` is the token that ends the page's last divided word; ``skip``
+    tells that the first token ended a word of the page before.
+    """
+    paragraphs: list[list[str]] = [[]]
+    fixed = lambda t: like(t, core(t), fixes[core(t)]) if core(t) in fixes else t
+    lines = [(k, x.split()) for k, x in enumerate(LINES.split(text)) if k not in gone]
+    body = [k for k, tokens in lines if tokens]
+    last = None
+    for k, tokens in lines:
+        if not tokens:
+            if paragraphs[-1] and last is None:
+                paragraphs.append([])
+            continue
+        heading = last is None and HEADING.match(" ".join(tokens)) and tokens[-1][-1] not in ".,;"
+        if heading and paragraphs[-1]:
+            paragraphs.append([])
+        words = tokens[1:] if skip and k == body[0] else tokens
+        if last is not None:
+            after = core(words[0]) if words else ""
+            tail = words[0][words[0].lower().find(after) + len(after) :] if after else ""
+            item = joins.get((last, words[0]) if words else ("", ""))
+            paragraphs[-1].append(like(last.rstrip(HYPHENS), core(last.rstrip(HYPHENS)), item) + tail if item else last + (words[0] if words else ""))
+            words, last = words[1:], None
+        if words and broken(words[-1]):
+            last = words[-1]
+            words = words[:-1]
+        paragraphs[-1] += map(fixed, words)
+        if heading:
+            paragraphs.append([])
+    if last is not None:
+        item = joins.get((last, carry or ""))
+        paragraphs[-1].append(like(last.rstrip(HYPHENS), core(last.rstrip(HYPHENS)), item) if item else last)
+    done = [" ".join(p) for p in paragraphs if p]
+    return done, bool(done) and not heading_only(done[-1]) and done[-1][-1] not in ".!?:"
+
+
+def heading_only(paragraph: str) -> bool:
+    """Whether a paragraph is a numbered heading."""
+    return bool(HEADING.match(paragraph)) and paragraph[-1] not in ".,;"
+
+
 class Repair:
     """The stages of the repair over one table of pages; each is written once."""
 
@@ -425,3 +483,27 @@ class Repair:
         """All repairs, each once: doc, page, kind, item."""
         parts = [self.furniture.select("doc", "page", "kind", "item"), self.joined().select("doc", "page", F.lit("break").alias("kind"), "item"), self.misread().select("doc", "page", F.lit("misread").alias("kind"), "item")]
         return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+    def texts(self) -> DataFrame:
+        """Every page's repaired text: doc, page, text, continues (the last paragraph goes on)."""
+        lines = self.furniture.groupBy("doc", "page").agg(F.collect_set("line").alias("lines"))
+        fixes = self.misread().groupBy("doc", "page").agg(F.collect_set(F.struct("form", "item")).alias("fixes"))
+        joins = self.joined().groupBy("doc", "page").agg(F.collect_set(F.struct("left", "right", "item")).alias("joins"))
+        heads = self.bodies.select("doc", (F.col("page") - 1).alias("page"), F.col("head").alias("carry"))
+        tails = self.bodies.where("tail is not null").select("doc", (F.col("page") + 1).alias("page"), F.lit(True).alias("skip"))
+        rows = self.pages
+        for side in (lines, fixes, joins, heads, tails):
+            rows = rows.join(side, ["doc", "page"], "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, more = [], []
+                for r in batch.to_pylist():
+                    fix = {f["form"]: f["item"] for f in r["fixes"] or ()}
+                    join = {(j["left"], j["right"]): j["item"] for j in r["joins"] or ()}
+                    paragraphs, goes_on = page_paragraphs(r["text"], set(r["lines"] or ()), fix, join, r["carry"], bool(r["skip"]))
+                    texts.append("\n\n".join(paragraphs))
+                    more.append(goes_on)
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("page"), pa.array(texts, pa.string()), pa.array(more, pa.bool_())], ["doc", "page", "text", "continues"])
+
+        return rows.select("doc", "page", "text", "lines", "fixes", "joins", "carry", "skip").mapInArrow(run, "doc string, page int, text string, continues boolean")

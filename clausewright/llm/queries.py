@@ -91,6 +91,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _repair(spark, d).found().select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), "kind", "item")
 
 
+def p6_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's repaired text; ``continues`` tells that its last paragraph goes on on the next page."""
+    return _repair(spark, d).texts().select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), "text", "continues")
+
+
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as continuous paragraphs."""
+    part = F.concat("text", F.when(F.col("text") == "", "").when(F.col("continues"), " ").otherwise("\n\n"))
+    pages = p6_pages(spark, d).withColumn("part", part)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "part"))), lambda p: p["part"]), "")
+    return pages.groupBy("document_id").agg(F.rtrim(joined).alias("text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_table(table(spark, d, "documents"), "doc_id", "text", encode.vocabulary_path())
 
@@ -114,4 +127,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """All pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p6_found, p7_ids, p8_bins, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p6_found, p6_pages, p6_documents, p7_ids, p8_bins, p9_found, p9_canonical)}
