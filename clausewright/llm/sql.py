@@ -16,10 +16,29 @@ PLACES = ", ".join(
 # The token pattern with its classes spelled out, since \\w and \\s know only ASCII there.
 COUNT = r"len(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]'))"
 
+WORDS = "regexp_extract_all(lower(coalesce(text, search_vector)), '[a-z0-9]+')"
+AGREEING = f"""
+  WITH c AS (SELECT DISTINCT chunk_id, list_sort({WORDS}) AS w FROM chunks WHERE len({WORDS}) >= 20),
+  t AS (SELECT chunk_id, len(w) AS n, term, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM c) GROUP BY 1, 2, 3),
+  p AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, any_value(a.n) AS na, any_value(b.n) AS nb, sum(least(a.tf, b.tf)) AS common
+        FROM t a JOIN t b ON a.term = b.term AND a.chunk_id < b.chunk_id AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) GROUP BY 1, 2)
+  SELECT chunk_a, chunk_b FROM p WHERE common >= 0.75 * (na + nb - common)
+"""
+NEAREST = """
+  WITH v AS (SELECT chunk_id, max(embedding) AS e FROM chunk_vectors, index_config WHERE is_active AND chunk_vectors.embedding_model = index_config.embedding_model AND len(embedding) = dimension
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)
+  SELECT chunk_id, neighbour_id, similarity, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DESC, neighbour_id) AS INTEGER) AS rank FROM (
+      SELECT a.chunk_id, b.chunk_id AS neighbour_id, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS similarity FROM v a JOIN v b ON a.chunk_id <> b.chunk_id)) WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {
+        "p1_found": AGREEING,
+        "p4_neighbours": NEAREST,
+        "p4_found": f"SELECT DISTINCT least(chunk_id, neighbour_id) AS chunk_a, greatest(chunk_id, neighbour_id) AS chunk_b FROM ({NEAREST}) WHERE similarity >= 0.80",
         "p2_found": f"""
             SELECT document_id, ordinal FROM (
               SELECT *, {COUNT.format("n.text")} AS t, {COUNT.format("n.context_prefix")} AS p
