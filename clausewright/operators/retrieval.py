@@ -15,6 +15,7 @@ from ..functions import text as T
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 20
 HASH_DIMENSION = 1536
+BATCH = 4096
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,23 +24,70 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The ``k`` best texts per query by BM25: query_id, key, score, rank.
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = CANDIDATES, blocks_from: int = 200) -> DataFrame:
+    """The ``k`` best texts per query by BM25: query_id, key, score (6 decimals), rank; ties by key.
 
     ``queries`` has query_id and query. Only terms of the queries are joined
-    to the texts' terms (a broadcast when the queries are few), so frequent
-    words that nobody asks for are never shuffled. Ties rank by key.
+    to the texts' terms, so frequent words that nobody asks for are never
+    shuffled. A few queries are scored by a join; from ``blocks_from`` on,
+    batches of texts meet blocks of queries and only the ``k`` best rows of
+    each meeting are shuffled.
     """
     asked = queries.select("query_id", F.explode(T.lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     tokens = docs.select(F.col(key).alias("key"), T.lexical_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
     hits = tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))) * F.col("qtf")
-    scores = weighed.groupBy("query_id", "key").agg(F.round(F.sum(gain), 6).alias("score")).where("score > 0")
-    return ranked(scores, "query_id", "score", "key", k)
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weighed = hits.join(df, "term").crossJoin(F.broadcast(totals)).select("key", "term", gain.alias("w"))  # totals is one row
+    n_queries = queries.count()
+    if n_queries < blocks_from:
+        scores = weighed.join(asked, "term").groupBy("query_id", "key").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    else:
+        scores = _block_scores(weighed, asked, docs.count(), n_queries, k)
+    return ranked(scores.where("score > 0"), "query_id", "score", "key", k)
+
+
+def _block_scores(weighed: DataFrame, asked: DataFrame, n_docs: int, n_queries: int, k: int) -> DataFrame:
+    """Scores of the ``k`` best texts of each batch for each query (more where the last are equal)."""
+    parts = max(1, -(-n_docs // BATCH))
+    batches = weighed.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("b")).agg(F.collect_list(F.struct("key", "term", "w")).alias("rows")).select("rows")
+    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_queries // BATCH)))).alias("b")).agg(F.collect_list(F.struct("query_id", "term", "qtf")).alias("qs")).select("qs")
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, key {weighed.schema['key'].dataType.simpleString()}, score double"
+
+    def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in record_batches:
+            for rows, qs in zip(batch.column("rows"), batch.column("qs"), strict=True):
+                r, q = rows.values, qs.values
+                keys, terms, asks = (pa.array(x).dictionary_encode() for x in (r.field("key"), r.field("term"), q.field("query_id")))
+                place = {t: i for i, t in enumerate(terms.dictionary.to_pylist())}
+                order = np.argsort(terms.indices.to_numpy(), kind="stable")
+                at, w = keys.indices.to_numpy()[order], r.field("w").to_numpy()[order]
+                start = np.searchsorted(terms.indices.to_numpy()[order], np.arange(len(place) + 1))
+                found: list[list[np.ndarray]] = [[], [], []]
+                mine = asks.indices.to_numpy()
+                by_query = np.argsort(mine, kind="stable")
+                edges = np.searchsorted(mine[by_query], np.arange(len(asks.dictionary) + 1))
+                q_terms, q_tf = q.field("term").to_pylist(), q.field("qtf").to_numpy()
+                for i in range(len(asks.dictionary)):
+                    score = np.zeros(len(keys.dictionary))
+                    for j in by_query[edges[i] : edges[i + 1]]:
+                        t = place.get(q_terms[j])
+                        if t is not None:
+                            a, b = start[t], start[t + 1]
+                            score[at[a:b]] += w[a:b] * q_tf[j]
+                    score = np.round(score, 6)
+                    hit = np.flatnonzero(score > 0)
+                    if len(hit) > k:
+                        hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+                    found[0].append(np.full(len(hit), i))
+                    found[1].append(hit)
+                    found[2].append(score[hit])
+                qi, ki, sc = (np.concatenate(x) if x else np.zeros(0) for x in found)
+                yield pa.RecordBatch.from_arrays([asks.dictionary.take(pa.array(qi.astype(np.int64))), keys.dictionary.take(pa.array(ki.astype(np.int64))), pa.array(sc)], ["query_id", "key", "score"])
+
+    return batches.crossJoin(blocks).mapInArrow(run, kinds)  # a stated query set, in blocks
 
 
 def ranked(scores: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
