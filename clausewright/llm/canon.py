@@ -8,6 +8,7 @@ every cluster that can change is looked up as a whole.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ LOOKALIKES = {
 # Characters that draw nothing (soft hyphen, grapheme joiner, zero-width, direction and joining marks, byte-order mark).
 INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
 JOINERS = "‌‍"
+# A cluster holds at most one ASCII character, its first; text between runs stays as it is.
+RUN = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
 VIRAMA = 9  # canonical combining class
 
 
@@ -100,12 +103,17 @@ class Transducer:
             known.clear()
 
         def put(match) -> str:
-            piece = match[0]
-            if (to := known.get(piece)) is None:
-                to = known[piece] = self.cluster(piece)
+            run = match[0]
+            if (to := known.get(run)) is None:
+                to = self.pattern.sub(self._piece, run)
+                if len(run) <= 24:
+                    known[run] = to
             return to
 
-        return self.pattern.sub(put, text)
+        return RUN.sub(put, text)
+
+    def _piece(self, match) -> str:
+        return self.cluster(match[0])
 
 
 _here: list[Transducer] = []
