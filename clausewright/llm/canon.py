@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 # Letters of other scripts drawn exactly like Latin ones, and hyphens drawn like the ordinary one.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
@@ -155,7 +157,7 @@ def same_looking_pairs(forms: DataFrame) -> DataFrame:
     Only digests travel; forms that a single stored text has are dropped
     before the join, and equal stored texts make no pair.
     """
-    digests = forms.where(F.col("canonical").isNotNull() & visible(F.col("canonical"))).select("key", F.sha2("canonical", 256).alias("form"), F.sha2("text", 256).alias("stored"))
+    digests = materialize(forms.where(F.col("canonical").isNotNull() & visible(F.col("canonical"))).select("key", F.sha2("canonical", 256).alias("form"), F.sha2("text", 256).alias("stored")))
     mixed = digests.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     some = digests.join(mixed, "form", "left_semi")
     a, b = some.alias("a"), some.alias("b")
