@@ -89,7 +89,8 @@ def margin_lines(pages: DataFrame) -> DataFrame:
                     for rank, (k, line) in enumerate(some):
                         label = page_label(line)
                         take.append(r)
-                        out.append((side, rank, k, line, line_key(line), label and label[0], label and label[1]))
+                        key = "" if broken(line.split()[-1]) else line_key(line)  # a line with the beginning of a word is body
+                        out.append((side, rank, k, line, key, label and label[0], label and label[1]))
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
             rows = pa.array(take, pa.int64())
@@ -105,16 +106,17 @@ def furniture(margins: DataFrame) -> DataFrame:
     over two pages and a fifth of the document's at least; or a line of a
     decorated pattern known from three other documents, outermost on its
     page. A running line has
-    the same key on two pages and a fifth (a single-word line on half) of
-    them, or is known as one from two other documents. Nothing further in
+    the same key on two pages and a fifth (a single word, or a line that ends
+    like a sentence, on half) of them, or is known as one from two other
+    documents. Nothing further in
     than a line of the body counts.
     """
     total = margins.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
     labels = margins.where("number is not null").withColumn("offset", F.col("number") - F.col("page"))
     steady = labels.groupBy("doc", "pattern", "offset").agg(F.countDistinct("page").alias("seen")).join(total, "doc").where((F.col("seen") >= 2) & (F.col("seen") * 5 >= F.col("pages")))
     usual = steady.where(~F.col("pattern").isin("#", "r")).groupBy("pattern").agg(F.countDistinct("doc").alias("docs")).where("docs >= 3").select("pattern", F.lit(True).alias("usual"))
-    runs = margins.where("key <> ''").groupBy("doc", "side", "key").agg(F.countDistinct("page").alias("seen")).join(total, "doc")
-    words = F.size(F.split("key", " "))
+    runs = margins.where("key <> ''").groupBy("doc", "side", "key").agg(F.countDistinct("page").alias("seen"), F.max(F.col("item").rlike("[.,;]$")).alias("stopped")).join(total, "doc")
+    words = F.when(F.col("stopped"), 1).otherwise(F.size(F.split("key", " ")))
     share = F.when(words > 1, 5).otherwise(2)
     strong = runs.where((F.col("seen") >= 2) & (F.col("seen") * share >= F.col("pages")))
     known = strong.where(words > 1).groupBy("side", "key").agg(F.countDistinct("doc").alias("docs")).where("docs >= 2").select("side", "key", F.lit(True).alias("known"))
@@ -124,6 +126,7 @@ def furniture(margins: DataFrame) -> DataFrame:
         .join(usual, "pattern", "left")
         .join(strong.select("doc", "side", "key", F.lit(True).alias("strong")), ["doc", "side", "key"], "left")
         .join(known, ["side", "key"], "left")
+        .withColumn("known", F.col("known") & ~F.col("item").rlike("[.,;]$"))
         .withColumn("kind", F.when(F.col("steady") | (F.col("usual") & (F.col("number") > 0)), "pageno").when(F.col("strong") | F.col("known"), "header"))
     )
     outward = Window.partitionBy("doc", "page", "side").orderBy("rank")
