@@ -2,7 +2,7 @@
 
 LATEST_SCORES = """
   SELECT query_id, chunk_id, max_by(similarity, (scored_at, similarity)) AS similarity FROM semantic_results
-  WHERE similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY query_id, chunk_id
+  WHERE similarity IS NOT NULL AND similarity::VARCHAR <> 'nan' GROUP BY query_id, chunk_id
 """
 TOP = f"""
   SELECT query_id, chunk_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INTEGER) AS rank
@@ -26,7 +26,7 @@ AGREEING = f"""
 """
 NEAREST = """
   WITH v AS (SELECT chunk_id, max(embedding) AS e FROM chunk_vectors, index_config WHERE is_active AND chunk_vectors.embedding_model = index_config.embedding_model AND len(embedding) = dimension
-             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)
+             AND len(list_filter(embedding, lambda x: x IS NULL OR x::VARCHAR = 'nan' OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)
   SELECT chunk_id, neighbour_id, similarity, rank FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DESC, neighbour_id) AS INTEGER) AS rank FROM (
       SELECT a.chunk_id, b.chunk_id AS neighbour_id, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS similarity FROM v a JOIN v b ON a.chunk_id <> b.chunk_id)) WHERE rank <= 5
@@ -50,7 +50,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"SELECT query_id, chunk_id FROM ({TOP}) WHERE rank <= 5",
         "p5_found": f"""
             WITH newest AS (
-              SELECT query_id, chunk_id, similarity AS s, bm25_score AS b, fusion_score AS f, CASE WHEN isnan(reranker_score) THEN NULL ELSE reranker_score END AS r
+              SELECT query_id, chunk_id, similarity AS s, bm25_score AS b, fusion_score AS f, CASE WHEN reranker_score::VARCHAR = 'nan' THEN NULL ELSE reranker_score END AS r
               FROM hybrid_results QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY scored_at DESC) = 1)
             SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, {PLACES} FROM newest) WHERE p0 <= 3 AND p1 <= 3 AND p2 <= 3 AND p3 <= 3
         """,
