@@ -96,7 +96,7 @@ def select_by_ids(s: SparkSession, d: str) -> DataFrame:
     return asked.join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.col("n").isNull().alias("unknown"))
 
 
-@query("""SELECT query_id, count(*) AS n, round(max(similarity), 6) AS best FROM semantic_results WHERE NOT isnan(similarity) AND similarity >= 0.05 GROUP BY query_id""")
+@query("""SELECT query_id, count(*) AS n, round(max(similarity), 6) AS best FROM semantic_results WHERE similarity::VARCHAR <> 'nan' AND similarity >= 0.05 GROUP BY query_id""")
 def score_threshold(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "semantic_results").where("not isnan(similarity) and similarity >= 0.05").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("similarity"), 6).alias("best"))
 
@@ -185,7 +185,7 @@ def left_outer_collect(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "supplier").select("s_suppkey").join(tests, "s_suppkey", "left").select("s_suppkey", F.coalesce("tests", F.lit("")).alias("tests"))
 
 
-@query("""WITH b AS (SELECT chunk_id, 0.4 AS s, 'keyword' AS b, 0 AS k FROM chunks WHERE text ILIKE '%gasket%' UNION ALL SELECT chunk_id, 0.5, 'metadata', 1 FROM chunks WHERE document_type = 'circular' UNION ALL SELECT chunk_id, similarity, 'vector', 2 FROM semantic_results WHERE similarity >= 0.9 AND NOT isnan(similarity))
+@query("""WITH b AS (SELECT chunk_id, 0.4 AS s, 'keyword' AS b, 0 AS k FROM chunks WHERE text ILIKE '%gasket%' UNION ALL SELECT chunk_id, 0.5, 'metadata', 1 FROM chunks WHERE document_type = 'circular' UNION ALL SELECT chunk_id, similarity, 'vector', 2 FROM semantic_results WHERE similarity >= 0.9 AND similarity::VARCHAR <> 'nan')
 SELECT chunk_id, round(max(s), 6)::DOUBLE AS score, (SELECT string_agg(b, '+' ORDER BY k) FROM (SELECT DISTINCT b, k FROM b x WHERE x.chunk_id = b0.chunk_id)) AS branches FROM b b0 GROUP BY chunk_id""")
 def branch_merge(s: SparkSession, d: str) -> DataFrame:
     chunks = table(s, d, "chunks")

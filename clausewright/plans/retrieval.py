@@ -91,7 +91,7 @@ def norm_gate(s: SparkSession, d: str) -> DataFrame:
     return R.norm_evidence(table(s, d, "embeddings"), "embedding")
 
 
-@query("""SELECT 'missing_vector' AS problem, count(*) AS n FROM chunk_vectors WHERE embedding IS NULL UNION ALL SELECT 'wrong_dimension', count(*) FROM chunk_vectors WHERE len(embedding) <> 96 UNION ALL SELECT 'not_finite', count(*) FROM chunk_vectors WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 UNION ALL SELECT 'all_zero', count(*) FROM chunk_vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) = 0 UNION ALL SELECT 'repeated_key', count(*) FROM (SELECT chunk_id FROM chunk_vectors GROUP BY 1 HAVING count(*) > 1)""")
+@query("""SELECT 'missing_vector' AS problem, count(*) AS n FROM chunk_vectors WHERE embedding IS NULL UNION ALL SELECT 'wrong_dimension', count(*) FROM chunk_vectors WHERE len(embedding) <> 96 UNION ALL SELECT 'not_finite', count(*) FROM chunk_vectors WHERE len(list_filter(embedding, lambda x: x IS NULL OR x::VARCHAR = 'nan')) > 0 UNION ALL SELECT 'all_zero', count(*) FROM chunk_vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) = 0 UNION ALL SELECT 'repeated_key', count(*) FROM (SELECT chunk_id FROM chunk_vectors GROUP BY 1 HAVING count(*) > 1)""")
 def index_gate(s: SparkSession, d: str) -> DataFrame:
     return R.index_problems(table(s, d, "chunk_vectors"), "chunk_id", "embedding", 96)
 
@@ -135,7 +135,7 @@ def resolve_identifier(s: SparkSession, d: str) -> DataFrame:
     return c.where(hit).select("chunk_id", "clause_number", F.lit(standard).alias("standard_number")).distinct()
 
 
-@query("""SELECT query_id, chunk_id, coalesce(standard_numbers[1], NULL) AS standard_number, pages[1] AS page, round(rerank, 6) AS reranker_score, concat_ws('+', CASE WHEN a IS NOT NULL THEN 'semantic' END, CASE WHEN b IS NOT NULL THEN 'bm25' END) AS methods FROM (SELECT query_id, chunk_id, max(CASE WHEN NOT isnan(reranker_score) THEN reranker_score END) AS rerank, min(CASE WHEN semantic_rank > 0 THEN semantic_rank END) AS a, min(CASE WHEN bm25_rank > 0 THEN bm25_rank END) AS b FROM hybrid_results GROUP BY 1, 2) JOIN (SELECT chunk_id, min(standard_numbers) AS standard_numbers, min(pages) AS pages FROM chunks GROUP BY 1) USING (chunk_id)""")
+@query("""SELECT query_id, chunk_id, coalesce(standard_numbers[1], NULL) AS standard_number, pages[1] AS page, round(rerank, 6) AS reranker_score, concat_ws('+', CASE WHEN a IS NOT NULL THEN 'semantic' END, CASE WHEN b IS NOT NULL THEN 'bm25' END) AS methods FROM (SELECT query_id, chunk_id, max(CASE WHEN reranker_score::VARCHAR <> 'nan' THEN reranker_score END) AS rerank, min(CASE WHEN semantic_rank > 0 THEN semantic_rank END) AS a, min(CASE WHEN bm25_rank > 0 THEN bm25_rank END) AS b FROM hybrid_results GROUP BY 1, 2) JOIN (SELECT chunk_id, min(standard_numbers) AS standard_numbers, min(pages) AS pages FROM chunks GROUP BY 1) USING (chunk_id)""")
 def evidence_shape(s: SparkSession, d: str) -> DataFrame:
     return evidence(s, d).select("query_id", "chunk_id", "standard_number", "page", F.round("rerank", 6).alias("reranker_score"), F.concat_ws("+", F.when(F.col("a").isNotNull(), "semantic"), F.when(F.col("b").isNotNull(), "bm25")).alias("methods"))
 
@@ -147,7 +147,7 @@ def evidence(s: SparkSession, d: str) -> DataFrame:
     return h.join(c, "chunk_id").withColumn("standard_number", F.get("standard_numbers", F.lit(0))).withColumn("page", F.get("pages", F.lit(0)))
 
 
-BUDGET = """SELECT query_id, chunk_id, place, sum(length(coalesce(text, ''))) OVER (PARTITION BY query_id ORDER BY place) + 2 * (place - 1) <= 3000 AS included FROM (SELECT query_id, chunk_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, chunk_id) AS place FROM (SELECT query_id, chunk_id, max(CASE WHEN NOT isnan(reranker_score) THEN reranker_score END) AS rerank FROM hybrid_results GROUP BY 1, 2) JOIN (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1) USING (chunk_id))"""
+BUDGET = """SELECT query_id, chunk_id, place, sum(length(coalesce(text, ''))) OVER (PARTITION BY query_id ORDER BY place) + 2 * (place - 1) <= 3000 AS included FROM (SELECT query_id, chunk_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, chunk_id) AS place FROM (SELECT query_id, chunk_id, max(CASE WHEN reranker_score::VARCHAR <> 'nan' THEN reranker_score END) AS rerank FROM hybrid_results GROUP BY 1, 2) JOIN (SELECT chunk_id, max(text) AS text FROM chunks GROUP BY 1) USING (chunk_id))"""
 
 
 def packages(s: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ def guard_state(s: SparkSession, d: str) -> DataFrame:
     return E.sufficiency(rows, queries)
 
 
-@query("""SELECT query_id, n, best, CASE WHEN n >= 3 AND best >= 0.55 AND std THEN 'high' WHEN n >= 2 AND best >= 0.35 THEN 'medium' WHEN n >= 1 THEN 'low' ELSE 'none' END AS confidence FROM (SELECT query_id, count(DISTINCT chunk_id) AS n, round(max(CASE WHEN NOT isnan(similarity) THEN similarity END), 6) AS best, bool_or(standard IS NOT NULL) AS std FROM semantic_results GROUP BY 1)""")
+@query("""SELECT query_id, n, best, CASE WHEN n >= 3 AND best >= 0.55 AND std THEN 'high' WHEN n >= 2 AND best >= 0.35 THEN 'medium' WHEN n >= 1 THEN 'low' ELSE 'none' END AS confidence FROM (SELECT query_id, count(DISTINCT chunk_id) AS n, round(max(CASE WHEN similarity::VARCHAR <> 'nan' THEN similarity END), 6) AS best, bool_or(standard IS NOT NULL) AS std FROM semantic_results GROUP BY 1)""")
 def confidence_case(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "semantic_results").groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n"), F.round(F.max(F.when(~F.isnan("similarity"), F.col("similarity"))), 6).alias("best"), F.bool_or(F.col("standard").isNotNull()).alias("std"))
     return g.select("query_id", "n", "best", E.confidence(F.col("n"), F.coalesce("best", F.lit(-1.0)), F.col("std")).alias("confidence"))
@@ -226,7 +226,7 @@ def graph_summary(s: SparkSession, d: str) -> DataFrame:
     return entity_edges(s, d).groupBy("relation", "source_type", "target_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
-TRUTH = "SELECT DISTINCT query_id, chunk_id AS key FROM hybrid_results WHERE reranker_score > 0 AND NOT isnan(reranker_score)"
+TRUTH = "SELECT DISTINCT query_id, chunk_id AS key FROM hybrid_results WHERE reranker_score > 0 AND reranker_score::VARCHAR <> 'nan'"
 FUSED = f"SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT query_id, key, round(coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0), 8) AS s FROM ({RANKS}) WHERE a IS NOT NULL OR b IS NOT NULL)"
 RECALL = f"""SELECT query_id, count(*) AS expected, {", ".join(f"round(count(CASE WHEN rank <= {k} THEN 1 END) / count(*)::DOUBLE, 6) AS recall_{k}" for k in (1, 3, 5, 10))}, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS reciprocal_rank FROM ({TRUTH}) LEFT JOIN ({FUSED}) USING (query_id, key) GROUP BY 1"""
 
