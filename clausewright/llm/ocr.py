@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -195,12 +196,18 @@ def join_forms(left: str, right: str) -> tuple[str, str]:
     return core(a + b), core(a + "-" + b)
 
 
+def divided_word() -> Column:
+    """A break's parts (columns left and right) in lower case with a line end between them."""
+    return F.concat(F.lower(F.expr(f"rtrim('{HYPHENS}', left)")), F.lit("\n"), F.regexp_extract(F.lower("right"), r"^\W*([\w-]*)", 1))
+
+
 class Editor:
     """Averaged perceptron over the characters of a word.
 
     Operations: keep, delete, or replace the character by one or two others
-    (two: a replacement and an insertion). Only operations seen in training
-    for a character are weighed.
+    (two: a replacement and an insertion); for a line end inside a divided
+    word, join or keep (its hyphen). Only operations seen in training for a
+    character are weighed.
     """
 
     def __init__(self) -> None:
@@ -211,6 +218,9 @@ class Editor:
     def features(word: str, k: int) -> list[str]:
         w = f"^^{word}$$"
         c = k + 2
+        if word[k] == "\n":  # the end of a line inside a divided word
+            left, right = word[:k], word[k + 1 :]
+            return ["0", f"1{left}", f"2{right}", f"3{left[-2:]}", f"4{right[:2]}", f"5{len(left)}", f"6{len(right)}", f"7{left[-1:]}{right[:1]}"]
         return [f"0{w[c]}", f"1{w[c - 1 : c + 1]}", f"2{w[c : c + 2]}", f"3{w[c - 1 : c + 2]}", f"4{w[c - 2 : c + 1]}", f"5{w[c : c + 3]}", f"6{w[c]}{len(word) // 4}", f"7{any(x.isdigit() for x in word)}"]
 
     def scores(self, word: str, k: int) -> dict[str, float]:
@@ -313,8 +323,8 @@ def weak_pairs(counts: dict[str, int]) -> list[tuple[str, str, int, int, str]]:
     return [p for ps in found.values() for p in ps if support[p[0][p[2] : p[3]], p[4]] >= LEAST_SUPPORT]
 
 
-def train(counts: dict[str, int]) -> Editor:
-    """An editor from the weak pairs of a bounded sample of words and as many clean words."""
+def train(counts: dict[str, int], divided: Iterable[tuple[str, str]] = ()) -> Editor:
+    """An editor from the weak pairs of a bounded sample of words, as many clean words, and divided words ("left\\nright", join or keep)."""
     pairs = weak_pairs(counts)
     noisy = {p[0] for p in pairs}
     examples = []
@@ -324,6 +334,10 @@ def train(counts: dict[str, int]) -> Editor:
         if b - a == 2:
             ops[a + 1] = "delete"
         examples.append((w, ops))
+    for w, op in divided:
+        ops = ["keep"] * len(w)
+        ops[w.index("\n")] = op
+        examples.append((w, ops))
     clean = [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if w not in noisy and len(w) > 2][: max(500, len(pairs))]
     editor = Editor()
     editor.fit(examples + [(w, ["keep"] * len(w)) for w in clean])
@@ -457,7 +471,16 @@ class Repair:
         both = self.breaks.select(F.explode(F.array("plain", "hyphened")).alias("form"), F.lit(0).cast("long").alias("count"))
         every = materialize(counts.unionByName(both).groupBy("form").agg(F.sum("count").alias("count")))
         sample = {r["form"]: r["count"] for r in self._sample(every).collect()}  # at most TRAINING_WORDS rows
-        self.forms = materialize(corrections(every, train(sample)))
+        self.editor = train(sample, [(r["divided"], r["op"]) for r in self._labelled(every).collect()])  # half as many at most
+        self.forms = materialize(corrections(every, self.editor))
+
+    def _labelled(self, forms: DataFrame) -> DataFrame:
+        """A hash sample of divided words of which the corpus knows one spelling only."""
+        count = lambda c: forms.select(F.col("form").alias(c), F.col("count").alias(f"{c}_count"))
+        known = self.breaks.select(divided_word().alias("divided"), "plain", "hyphened").distinct().join(count("plain"), "plain").join(count("hyphened"), "hyphened")
+        one = known.where((F.least("plain_count", "hyphened_count") == 0) & (F.greatest("plain_count", "hyphened_count") > 0) & F.col("divided").contains("\n"))
+        op = F.when(F.col("hyphened_count") > 0, "keep").otherwise("join")
+        return one.select("divided", op.alias("op")).orderBy(F.xxhash64("divided"), "divided").limit(TRAINING_WORDS // 2)
 
     @staticmethod
     def _sample(forms: DataFrame) -> DataFrame:
@@ -469,13 +492,23 @@ class Repair:
         return common.unionByName(rest).distinct()
 
     def joined(self) -> DataFrame:
-        """Every break with the word it should read: doc, page, left, right, item."""
+        """Every break with the word it should read: doc, page, left, right, item.
+
+        The spelling that the corpus has more often counts; where it has both
+        or none alike, the perceptron decides about the hyphen.
+        """
+        model = self.pages.sparkSession.sparkContext.broadcast(self.editor)
+
+        @F.pandas_udf("boolean")
+        def keeps(words: pd.Series) -> pd.Series:
+            found = (model.value.scores(w, w.index("\n")) for w in words)
+            return pd.Series([f.get("keep", 0.0) > f.get("join", 0.0) for f in found])
+
         side = lambda c, a: self.forms.select(F.col("form").alias(c), F.coalesce("fixed", "form").alias(f"{a}_word"), F.coalesce("fixed_count", "count").alias(f"{a}_count"))
-        own = self.forms.where("fixed is null and count > 0").select("form", "count")
-        lower = self.breaks.withColumn("l", F.lower(F.expr(f"rtrim('{HYPHENS}', left)")))
-        both = lower.join(side("plain", "p"), "plain", "left").join(side("hyphened", "h"), "hyphened", "left").join(own.withColumnsRenamed({"form": "l", "count": "l_count"}), "l", "left")
-        hyphen = (F.col("h_count") > F.col("p_count")) | ((F.col("p_count") == 0) & F.col("l_count").isNotNull())
-        return both.select("doc", "page", "left", "right", F.when(hyphen, F.col("h_word")).otherwise(F.col("p_word")).alias("item"))
+        both = self.breaks.withColumn("divided", divided_word()).join(side("plain", "p"), "plain", "left").join(side("hyphened", "h"), "hyphened", "left")
+        hyphen = F.when(F.col("h_count") != F.col("p_count"), F.col("h_count") > F.col("p_count")).otherwise(F.col("kept"))
+        undecided = both.where("h_count = p_count").select("divided").distinct().withColumn("kept", keeps("divided"))
+        return both.join(undecided, "divided", "left").select("doc", "page", "left", "right", F.when(hyphen, F.col("h_word")).otherwise(F.col("p_word")).alias("item"))
 
     def misread(self) -> DataFrame:
         """Misread body words: doc, page, form, item."""
