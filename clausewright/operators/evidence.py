@@ -26,39 +26,53 @@ def sufficiency(evidence: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``evidence``: query_id, text, standard, clause, reranker_score, in_bm25,
     in_semantic, included. ``queries``: query_id, query. A query without
-    evidence is INSUFFICIENT.
+    evidence is INSUFFICIENT. The terms of a query's included evidence, which
+    its budget bounds, are the only thing gathered.
     """
+    asked = F.coalesce("query", F.lit(""))
+    structure = F.lower(F.regexp_extract(asked, r"(?i)\b((?:annex|table)\s+[A-Z0-9][A-Z0-9.-]*)", 1))
     q = queries.select(
-        "query_id", "query", T.guard_tokens(F.coalesce("query", F.lit(""))).alias("terms"),
-        F.regexp_extract("query", T.PATTERNS["standard_query"], 1).alias("std_no"), F.regexp_extract("query", T.PATTERNS["standard_query"], 2).alias("std_year"),
-        F.regexp_extract("query", T.PATTERNS["clause"], 1).alias("asked_clause"),
+        "query_id", T.guard_tokens(asked).alias("terms"), F.regexp_extract(asked, T.PATTERNS["standard_query"], 1).alias("std_no"), F.regexp_extract(asked, T.PATTERNS["standard_query"], 2).alias("std_year"),
+        F.regexp_extract(asked, T.PATTERNS["clause"], 1).alias("asked_clause"), structure.alias("asked_structure"),
+        F.filter(F.transform(F.split(asked, r"(?i)\b(?:and|plus|also)\b"), T.guard_tokens), lambda t: F.size(t) > 0).alias("segments"),
     )
-    e = evidence.join(q, "query_id")
-    standard = F.coalesce((F.col("std_no") != "") & (F.regexp_extract("standard", T.PATTERNS["standard_strict"], 1) == F.col("std_no")) & ((F.col("std_year") == "") | (F.regexp_extract("standard", T.PATTERNS["standard_strict"], 2) == F.col("std_year"))), F.lit(False))
+    e = evidence.where("included").join(q, "query_id")
+    actual = lambda k: F.regexp_extract("standard", T.PATTERNS["standard_strict"], k)
+    standard = F.coalesce((F.col("std_no") != "") & (actual(1) == F.col("std_no")) & ((F.col("std_year") == "") | (actual(2) == F.col("std_year"))), F.lit(False))
     clause = F.coalesce((F.col("asked_clause") != "") & (F.col("clause") == F.col("asked_clause")), F.lit(False))
-    own = T.guard_tokens(F.concat_ws("\n", "standard", "clause", "text"))
+    whole = F.concat_ws("\n", "standard", "clause", "text")
+    structural = (F.col("asked_structure") != "") & F.contains(F.lower(whole), F.col("asked_structure"))
+    own = T.guard_tokens(whole)
     overlap = F.size(F.array_intersect("terms", own)) > 0
     positive = F.coalesce(F.col("reranker_score") >= POSITIVE, F.lit(False))
-    supports = standard | clause | (positive & (F.col("in_bm25") | overlap)) | (F.coalesce(F.col("reranker_score") >= STRONG, F.lit(False)) & F.col("in_semantic"))
-    flagged = e.where("included").select("query_id", standard.alias("standard_hit"), clause.alias("clause_hit"), overlap.alias("lexical"), "in_bm25", supports.alias("supports"))
-    count = lambda c: F.count_if(F.col(c))
-    signals = flagged.groupBy("query_id").agg(F.count(F.lit(1)).alias("included"), *(count(c).alias(c) for c in ("standard_hit", "clause_hit", "lexical", "in_bm25", "supports")))
+    strong = F.coalesce(F.col("reranker_score") >= STRONG, F.lit(False)) & F.col("in_semantic")
+    supports = standard | clause | structural | (positive & (F.col("in_bm25") | overlap)) | strong
+    flags = ("standard_hit", "clause_hit", "structure_hit", "lexical", "in_bm25", "supports")
+    flagged = e.select("query_id", standard.alias("standard_hit"), clause.alias("clause_hit"), structural.alias("structure_hit"), overlap.alias("lexical"), "in_bm25", supports.alias("supports"), own.alias("own"))
+    signals = flagged.groupBy("query_id").agg(F.count(F.lit(1)).alias("included"), *(F.count_if(F.col(c)).alias(c) for c in flags), F.array_distinct(F.flatten(F.collect_set("own"))).alias("known"))
     omitted = evidence.groupBy("query_id").agg(F.count_if(~F.col("included")).alias("omitted"))
-    s = q.join(signals, "query_id", "left").join(omitted, "query_id", "left").na.fill(0, ["included", "standard_hit", "clause_hit", "lexical", "in_bm25", "supports", "omitted"])
+    s = q.join(signals, "query_id", "left").join(omitted, "query_id", "left").na.fill(0, ["included", *flags, "omitted"]).withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    identifiers = T.guard_tokens(F.concat_ws(" ", F.lit("clause annex table"), F.when(F.col("std_no") != "", F.concat(F.lit("IS "), "std_no", F.lit(" "), "std_year")), "asked_clause", "asked_structure"))
+    subject = F.array_except("terms", identifiers)
+    needed = lambda t: F.when(F.size(t) <= 3, F.size(t)).otherwise(F.floor((F.size(t) + 1) / 2))
+    met = F.size(F.filter("segments", lambda t: F.size(F.array_intersect(t, F.col("known"))) >= needed(t)))
     asked_std, asked_clause = F.col("std_no") != "", F.col("asked_clause") != ""
+    exact = (F.col("standard_hit") > 0) | (F.col("clause_hit") > 0) | (F.col("structure_hit") > 0)
+    supported = F.col("supports") > 0
     rules = [
         (F.col("included") == 0, "INSUFFICIENT", "empty_evidence"),
         (asked_std & (F.col("standard_hit") == 0), "INSUFFICIENT", "unresolved_exact_standard"),
-        (asked_clause & (F.col("clause_hit") == 0) & (F.col("standard_hit") > 0) & (F.col("supports") > 0), "PARTIAL", "unresolved_exact_clause"),
+        (asked_clause & (F.col("clause_hit") == 0) & (F.col("standard_hit") > 0) & supported, "PARTIAL", "unresolved_exact_clause"),
         (asked_clause & (F.col("clause_hit") == 0), "INSUFFICIENT", "unresolved_exact_clause"),
-        ((F.col("omitted") > 0) & (F.col("supports") > 0), "PARTIAL", "context_budget_omitted_evidence"),
-        ((F.col("supports") > 0) & ((F.col("standard_hit") > 0) | (F.col("clause_hit") > 0)), "SUFFICIENT", "exact_identifier_match"),
-        (F.col("supports") > 0, "SUFFICIENT", "multi_signal_support"),
+        (exact & (F.size(subject) > 0) & (F.size(F.array_intersect(subject, F.col("known"))) == 0), "PARTIAL", "exact_identifier_only_support"),
+        ((F.size("segments") >= 2) & (met > 0) & (met < F.size("segments")) & supported, "PARTIAL", "compound_query_partially_supported"),
+        ((F.col("omitted") > 0) & supported, "PARTIAL", "context_budget_omitted_evidence"),
+        (supported & exact, "SUFFICIENT", "exact_identifier_match"),
+        (supported, "SUFFICIENT", "multi_signal_support"),
         ((F.col("in_bm25") == 0) & (F.col("lexical") == 0) & ~asked_std & ~asked_clause, "OUT_OF_DOMAIN", "no_domain_alignment"),
     ]
-    state = reduce(lambda c, r: c.when(r[0], r[1]), rules[1:], F.when(rules[0][0], rules[0][1])).otherwise("INSUFFICIENT")
-    reason = reduce(lambda c, r: c.when(r[0], r[2]), rules[1:], F.when(rules[0][0], rules[0][2])).otherwise("weak_evidence_support")
-    return s.select("query_id", state.alias("state"), reason.alias("reason"), F.col("included").alias("n_included"), F.col("supports").alias("n_supporting"))
+    pick = lambda k, rest: reduce(lambda c, r: c.when(r[0], r[k]), rules[1:], F.when(rules[0][0], rules[0][k])).otherwise(rest)
+    return s.select("query_id", pick(1, "INSUFFICIENT").alias("state"), pick(2, "weak_evidence_support").alias("reason"), F.col("included").alias("n_included"), F.col("supports").alias("n_supporting"))
 
 
 def confidence(count: Column, top: Column, has_standard: Column) -> Column:

@@ -92,10 +92,11 @@ def test_recall(spark):
 
 
 def test_sufficiency_rules(spark):
-    queries = spark.createDataFrame([("1", "kettle safety"), ("2", "IS 9:2000 kettle"), ("3", "astronomy"), ("4", "IS 5:2001 clause 4.1 kettle"), ("5", "kettle"), ("6", "kettle safety")], "query_id string, query string")
+    queries = spark.createDataFrame([("1", "kettle safety"), ("2", "IS 9:2000 kettle"), ("3", "astronomy"), ("4", "IS 5:2001 clause 4.1 kettle"), ("5", "kettle"), ("6", "kettle safety"), ("7", "IS 5:2001 lanterns"), ("8", "kettle safety and lantern colour"), ("9", "Annex B sizes")], "query_id string, query string")
     e = [("1", "kettle safety text", "IS 5:2001", "4.2", 1.0, True, True, True), ("2", "kettle", "IS 5:2001", "1", 1.0, True, True, True), ("3", "plants", None, None, -5.0, False, False, True), ("4", "kettle", "IS 5:2001", "4.2", 1.0, True, True, True), ("6", "kettle safety", "IS 5:2001", "1", 2.0, True, True, True), ("6", "kettle", "IS 5:2001", "1", 2.0, True, True, False)]
+    e += [("7", "kettle", "IS 5:2001", "1", 1.0, True, True, True), ("8", "kettle safety", None, None, 1.0, True, True, True), ("9", "sizes of ANNEX B", None, None, -1.0, False, False, True)]
     got = {r.query_id: (r.state, r.reason) for r in E.sufficiency(spark.createDataFrame(e, "query_id string, text string, standard string, clause string, reranker_score double, in_bm25 boolean, in_semantic boolean, included boolean"), queries).collect()}
-    assert got == {"1": ("SUFFICIENT", "multi_signal_support"), "2": ("INSUFFICIENT", "unresolved_exact_standard"), "3": ("OUT_OF_DOMAIN", "no_domain_alignment"), "4": ("PARTIAL", "unresolved_exact_clause"), "5": ("INSUFFICIENT", "empty_evidence"), "6": ("PARTIAL", "context_budget_omitted_evidence")}
+    assert got == {"1": ("SUFFICIENT", "multi_signal_support"), "2": ("INSUFFICIENT", "unresolved_exact_standard"), "3": ("OUT_OF_DOMAIN", "no_domain_alignment"), "4": ("PARTIAL", "unresolved_exact_clause"), "5": ("INSUFFICIENT", "empty_evidence"), "6": ("PARTIAL", "context_budget_omitted_evidence"), "7": ("PARTIAL", "exact_identifier_only_support"), "8": ("PARTIAL", "compound_query_partially_supported"), "9": ("SUFFICIENT", "exact_identifier_match")}
 
 
 def test_edges_merge(spark):
