@@ -234,11 +234,18 @@ def clause_tree_depth(s: SparkSession, d: str) -> DataFrame:
     return s.sql("""WITH RECURSIVE t(document_id, ordinal, depth) AS (SELECT document_id, ordinal, 1 FROM tree_nodes WHERE parent_ordinal IS NULL UNION ALL SELECT n.document_id, n.ordinal, t.depth + 1 FROM tree_nodes n JOIN t ON n.document_id = t.document_id AND n.parent_ordinal = t.ordinal) SELECT document_id, ordinal, depth FROM t""")
 
 
-@query()
+@query(f"""SELECT document_id, max_by(title, (CASE WHEN {_hint_case("coalesce(title, '')")} <> 'unknown' THEN 2 ELSE 1 END, coalesce(discovered_at, TIMESTAMP '0001-01-01'), coalesce(title, ''))) AS title, string_agg(DISTINCT coalesce(source_url, ''), '|' ORDER BY coalesce(source_url, '')) AS sources FROM manifest GROUP BY 1""")
 def candidate_upsert(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "manifest").select("document_id", "title", "discovered_at", F.coalesce("source_url", F.lit("")).alias("source_url"))
-    rank = F.when(T.first_hint(F.coalesce("title", F.lit(""))) != "unknown", 2).otherwise(1)
-    return D.upsert_candidates(rows, "document_id", rank, "discovered_at", "source_url").select("document_id", "title", "sources")
+    rows = table(s, d, "manifest").select("document_id", F.coalesce("title", F.lit("")).alias("title"), "discovered_at", F.coalesce("source_url", F.lit("")).alias("source_url"))
+    rank = F.struct(F.when(T.first_hint(F.col("title")) != "unknown", 2).otherwise(1), F.coalesce("discovered_at", F.lit("0001-01-01").cast("timestamp_ntz")))
+    return D.upsert_candidates(rows, "document_id", rank, "title", "source_url").select("document_id", F.when(F.col("title") != "", F.col("title")).alias("title"), "sources")
+
+
+@query(f"""SELECT document_id, page_number + 1 AS first_missing, next_page - 1 AS last_missing FROM (SELECT document_id, page_number, lead(page_number) OVER (PARTITION BY document_id ORDER BY page_number) AS next_page FROM (SELECT DISTINCT document_id, page_number FROM doc_pages WHERE raw_text IS NOT NULL)) WHERE next_page > page_number + 1""")
+def coverage_gaps(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("document_id").orderBy("page_number")
+    rows = table(s, d, "doc_pages").where("raw_text is not null").select("document_id", "page_number").distinct().withColumn("next_page", F.lead("page_number").over(w))
+    return rows.where("next_page > page_number + 1").select("document_id", (F.col("page_number") + 1).alias("first_missing"), (F.col("next_page") - 1).alias("last_missing"))
 
 
 @query("""SELECT document_id, CASE WHEN title IS NOT NULL AND NOT regexp_matches(lower(title), '^(https?://|untitled|document$)') THEN title ELSE first_line END AS chosen FROM (SELECT document_id, min(title) AS title FROM manifest GROUP BY 1) LEFT JOIN (SELECT document_id, min_by(line, (page_number, line_no)) AS first_line FROM (""" + PAGE_LINES + """) WHERE length(trim(line, ' ')) > 20 GROUP BY 1) USING (document_id)""")

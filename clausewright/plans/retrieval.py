@@ -226,6 +226,26 @@ def graph_summary(s: SparkSession, d: str) -> DataFrame:
     return entity_edges(s, d).groupBy("relation", "source_type", "target_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources"))
 
 
+@query(f"""SELECT DISTINCT p.si AS product_id, u.ti AS standard FROM ({EDGES}) p JOIN ({EDGES}) u ON p.rel = 'HAS_DOCUMENT' AND u.rel = 'USES_STANDARD' AND p.ti = u.si""")
+def graph_paths(s: SparkSession, d: str) -> DataFrame:
+    e = entity_edges(s, d)
+    has = e.where("relation = 'HAS_DOCUMENT'").select(F.col("source_id").alias("product_id"), F.col("target_id").alias("doc"))
+    uses = e.where("relation = 'USES_STANDARD'").select(F.col("source_id").alias("doc"), F.col("target_id").alias("standard"))
+    return has.join(uses, "doc").select("product_id", "standard").distinct()
+
+
+@query(f"""SELECT product_id, standard, n, CAST(row_number() OVER (PARTITION BY product_id ORDER BY n DESC, standard) AS INTEGER) AS rank FROM (SELECT product_id, standard, count(DISTINCT document_id) AS n FROM (SELECT product_id, document_id, unnest(standard_numbers) AS standard FROM manifest WHERE product_id IS NOT NULL) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY n DESC, standard) <= 3""")
+def product_standards(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "manifest").where("product_id is not null").select("product_id", "document_id", F.explode("standard_numbers").alias("standard"))
+    return R.ranked(rows.groupBy("product_id", "standard").agg(F.countDistinct("document_id").alias("n")), "product_id", "n", "standard", 3)
+
+
+@query("""SELECT query_id, count(DISTINCT query) AS texts, bool_or(query IS NULL) AS some_missing, count(DISTINCT query) = 1 AS valid FROM semantic_results GROUP BY 1""")
+def query_gates(s: SparkSession, d: str) -> DataFrame:
+    n = F.countDistinct("query")
+    return table(s, d, "semantic_results").groupBy("query_id").agg(n.alias("texts"), F.bool_or(F.col("query").isNull()).alias("some_missing"), (n == 1).alias("valid"))
+
+
 TRUTH = "SELECT DISTINCT query_id, chunk_id AS key FROM hybrid_results WHERE reranker_score > 0 AND reranker_score::VARCHAR <> 'nan'"
 FUSED = f"SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM (SELECT query_id, key, round(coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0), 8) AS s FROM ({RANKS}) WHERE a IS NOT NULL OR b IS NOT NULL)"
 RECALL = f"""SELECT query_id, count(*) AS expected, {", ".join(f"round(count(CASE WHEN rank <= {k} THEN 1 END) / count(*)::DOUBLE, 6) AS recall_{k}" for k in (1, 3, 5, 10))}, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS reciprocal_rank FROM ({TRUTH}) LEFT JOIN ({FUSED}) USING (query_id, key) GROUP BY 1"""
