@@ -28,8 +28,8 @@ LOOKALIKES = {
     "օ": "o", "Օ": "O", "‐": "-", "‑": "-", "µ": "μ",
 }
 # Characters that draw nothing (soft hyphen, grapheme joiner, zero-width, direction and joining marks, byte-order mark).
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
-JOINERS = "‌‍"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\u206a\u206b\u206c\u206d\u206e\u206f\ufeff"
+JOINERS = "\u200c\u200d"
 # A cluster holds at most one ASCII character, its first; text between runs stays as it is.
 RUN = re.compile("[\x00-\x7f]?[^\x00-\x7f]+")
 VIRAMA = 9  # canonical combining class
@@ -77,7 +77,7 @@ class Transducer:
         inside = "".join(regex.escape(c) for c in INVISIBLE)
         moved = (c for c, to in self.table.items() if c not in INVISIBLE and unicodedata.category(c)[0] != "M" and unicodedata.normalize("NFC", to) != c)
         changing = "".join(f"\\U{ord(c):08x}" for c in moved)
-        emoji = rf"\p{{Extended_Pictographic}}[️\p{{EMod}}]*(?:‍\p{{Extended_Pictographic}}[️\p{{EMod}}]*)+"
+        emoji = rf"\p{{Extended_Pictographic}}[\ufe0f\p{{EMod}}]*(?:\u200d\p{{Extended_Pictographic}}[\ufe0f\p{{EMod}}]*)+"
         self.pattern = regex.compile(rf"{emoji}|[^\s\p{{M}}{inside}](?:[{inside}]*\p{{M}})+[{JOINERS}]?|[ｦ-ﾝ][ﾞﾟ]|[\u1100-\u11ff]+|[{changing}]|[{inside}]+|\p{{M}}+")
         self.emoji = regex.compile(emoji)
         self.known: dict[str, str] = {}

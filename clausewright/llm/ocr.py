@@ -29,7 +29,7 @@ LEAST_SUPPORT = 3
 MARGIN_RATIO = 8
 EPOCHS = 4
 LINES = re.compile(r"\r\n|\r|\n")
-HYPHENS = "-‐‑­¬"
+HYPHENS = "-\u2010\u2011\u00ad\u00ac"
 EDGES = ".,;:!?\"'“”‘’…"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 # Words and marks that may stand beside a page's number on a line of its own.
