@@ -305,9 +305,20 @@ def structure_tree(s: SparkSession, d: str) -> DataFrame:
     return D.structure_nodes(pages(s, d), "document_id", "page_number", "raw_text")
 
 
+def budgets(s: SparkSession, d: str) -> dict[str, D.Budgets]:
+    rows = table(s, d, "chunk_config").collect()  # the fixed table of three rows
+    return {r["config_id"]: D.Budgets(r["target_tokens"], r["soft_max_tokens"], r["hard_max_tokens"], r["overlap_tokens"], r["embedding_max_tokens"]) for r in rows}
+
+
 @query()
 def split_text(s: SparkSession, d: str) -> DataFrame:
-    return D.split_udtf_rows(table(s, d, "documents"), "doc_id", "text", 200)
+    return D.split_rows(table(s, d, "documents"), ["doc_id"], "text", budgets(s, d), "default").withColumnRenamed("doc_id", "key")
+
+
+@query()
+def split_nodes(s: SparkSession, d: str) -> DataFrame:
+    newest = table(s, d, "structure_nodes").groupBy("document_id", "ordinal").agg(F.max(F.struct("built_at", "text", "context_prefix", "config_id")).alias("row"))
+    return D.split_rows(newest.select("document_id", "ordinal", "row.*"), ["document_id", "ordinal"], "text", budgets(s, d), "default", "context_prefix", "config_id")
 
 
 @query()

@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -83,3 +85,69 @@ def test_context_only_and_header_lines(spark):
     assert {r.c: r["drop"] for r in got} == {1: False, 2: False, 3: True, 4: False}
     lines = spark.createDataFrame(pd.DataFrame({"k": [1] * 4, "line_no": [1, 2, 3, 4], "line": ["a " * 9, " ", "b", "c"]}))
     assert [r.line_no for r in D.header_lines(lines, ["k"], 10).collect()] == [1, 3]
+
+
+def by_reference(text, budgets):
+    """The reference's split_text, spelled out with its counts of substrings."""
+    count = lambda t: len(D.TOKEN.findall(t))
+    if not text.strip():
+        return []
+    if count(text) <= budgets.soft:
+        return [(0, len(text), 0)]
+    ends = sorted({len(text)} | {m.end() for p in (r"\n\s*\n", r"\n", r"[.!?](?:[\"')\]]*)\s+") for m in re.finditer(p, text)})
+    out, start, done = [], 0, 0
+    while start < len(text):
+        rest = text[start:]
+        if count(rest) <= budgets.soft:
+            end = len(text)
+        else:
+            fits = [b for b in ends if b > start and count(text[start:b]) <= budgets.target] or [b for b in ends if b > start and count(text[start:b]) <= budgets.hard]
+            end = fits[-1] if fits else start + [m.end() for m in D.TOKEN.finditer(rest)][budgets.hard - 1]
+        out.append((start, end, count(text[start:done]) if done > start else 0))
+        if end >= len(text):
+            break
+        shared = min(budgets.overlap, count(text[start:end]) // 4)
+        before = [m.start() for m in D.TOKEN.finditer(text[:end])]
+        back = end if shared <= 0 else 0 if len(before) <= shared else before[-shared]
+        done, start = end, back if back > start else end
+    return out
+
+
+def test_split_equals_reference():
+    rng = random.Random(5)
+    for _ in range(400):
+        joints = rng.choice([[" "], [" ", " ", "\n"], [" ", ". ", "\n\n", "\n"], ["", " ", "-", ".) "], [" "] * 30 + ["! "]])
+        text = "".join(rng.choice(["word", "4.2", "it's", "(x", "漢字", "é"]) + rng.choice(joints) for _ in range(rng.randrange(120)))
+        hard = rng.randrange(2, 60)
+        soft = rng.randrange(2, hard + 1)
+        target = rng.randrange(1, soft + 1)
+        b = D.Budgets(target, soft, hard, rng.randrange(target))
+        assert D.split_pieces(text, b) == by_reference(text, b), (text, b)
+
+
+def test_split_prefers_ends_then_hard_then_cut():
+    b = D.Budgets(8, 10, 12, 3)
+    text = "a b c. d e f\n\ng h i j k l. m n o p"
+    assert [text[s:e] for s, e, _ in D.split_pieces(text, b)][0] == "a b c. d e f\n\n"
+    assert D.split_pieces("x " * 11 + ". " + "y " * 9, b)[0][1] == 24  # no end within target, one within the hard budget
+    cut = D.split_pieces("w " * 40, b)
+    assert cut[0] == (0, 23, 0) and cut[1][2] == 3 and all(len(D.TOKEN.findall("w " * 40, s, e)) <= 12 for s, e, _ in cut)
+    assert D.split_pieces(None, b) == D.split_pieces(" \n", b) == []
+
+
+def test_split_counts_prefix_and_snaps():
+    b = D.Budgets(8, 8, 8, 2, 10)
+    text = "don't stop " * 6
+    pieces = D.split_pieces(text, b, "4.1 Scope | x")  # six tokens leave four
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
+    assert all(n[0] <= p[1] for p, n in zip(pieces, pieces[1:], strict=False))
+    assert all(len(D.TOKEN.findall(text[s:e])) <= 4 for s, e, _ in pieces)
+    assert D.split_pieces("a b c d e", b, "p " * 10) == [(0, 9, 0)]  # a prefix without room is not counted
+    assert D.split_pieces("alpha beta gamma 3.55 omega delta", D.Budgets(4, 4, 4, 0, 4))[0] == (0, 17, 0)
+
+
+def test_split_rows_use_config(spark):
+    rows = spark.createDataFrame([(1, "u v w x y z", None, "small"), (2, "u v w x y z", "p q", None), (3, None, None, "odd")], "k int, t string, p string, c string")
+    sizes = {"small": D.Budgets(2, 2, 2, 0), "default": D.Budgets(6, 6, 6, 0, 5)}
+    got = {(r.k, r.piece, r.text) for r in D.split_rows(rows, ["k"], "t", sizes, "default", "p", "c").collect()}
+    assert got == {(1, 0, "u v"), (1, 1, " w x"), (1, 2, " y z"), (2, 0, "u v "), (2, 1, "w x "), (2, 2, "y z")}  # the safe break is the white space before a cut word
