@@ -297,7 +297,8 @@ def stable_ids(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def clean_pages(s: SparkSession, d: str) -> DataFrame:
-    return pages(s, d).select("document_id", "page_number", D.clean_page_text(F.col("raw_text")).alias("text"))
+    bare = D.without_margins(pages(s, d), "document_id", "page_number", "raw_text")
+    return bare.select("document_id", "page_number", D.clean_page_text(F.col("raw_text")).alias("text"))
 
 
 @query()

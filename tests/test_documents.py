@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 import re
 
@@ -151,3 +152,40 @@ def test_split_rows_use_config(spark):
     sizes = {"small": D.Budgets(2, 2, 2, 0), "default": D.Budgets(6, 6, 6, 0, 5)}
     got = {(r.k, r.piece, r.text) for r in D.split_rows(rows, ["k"], "t", sizes, "default", "p", "c").collect()}
     assert got == {(1, 0, "u v"), (1, 1, " w x"), (1, 2, " y z"), (2, 0, "u v "), (2, 1, "w x "), (2, 2, "y z")}  # the safe break is the white space before a cut word
+
+
+def test_running_lines_are_removed_from_pages(spark):
+    page = "Uncontrolled  when\u00a0printed\r\n\r\nIS 9367:1993 Manual\n{0} Body of page {0}\nNOTE kept\nAlpha {0}\nBeta {0}\nGamma {0}\nDelta {0}\nUncontrolled when printed {0}\nOffice of the Registrar\n"
+    rows = [("d", p, page.format(p)) for p in range(1, 5)] + [("d", 5, "Other page\nUNCONTROLLED WHEN PRINTED"), ("e", 1, page.format(1)), ("e", 2, page.format(1)), ("f", 1, "")]
+    got = {(r.doc, r.page): r.text for r in D.without_margins(spark.createDataFrame(rows, "doc string, page int, text string"), "doc", "page", "text").collect()}
+    assert len(got) == 8
+    for p in range(1, 5):
+        lines = [x for x in got["d", p].split("\n") if x]
+        assert lines[0] == "IS 9367:1993 Manual" and lines[-1] == f"Uncontrolled when printed {p}"  # evidence stays, the running lines are gone
+    assert got["d", 5] == "Other page"  # a header within the first four lines, in other letter case
+    assert "Registrar" in got["e", 1] and got["f", 1] == ""  # two pages do not repeat
+    body = "\n".join(f"line {k} end." for k in range(9)) + "\nRunning Head\n" + "\n".join(f"tail {k} end." for k in range(9))
+    deep = spark.createDataFrame([("g", p, f"Running Head\n{body}") for p in range(3)], "doc string, page int, text string")
+    for r in D.without_margins(deep, "doc", "page", "text").collect():
+        assert r.text.count("Running Head") == 1 and not r.text.startswith("Running")  # outside the margin it stays
+
+
+def test_clean_pages_has_no_running_lines(spark):
+    from clausewright.plans import documents as P
+
+    root = "/root/testdata/sf0.001"
+    raw = P.pages(spark, root).collect()
+    clean = {(r.document_id, r.page_number): r.text for r in P.clean_pages(spark, root).collect()}
+    assert set(clean) == {(r.document_id, r.page_number) for r in raw}
+    pages = {}
+    for r in raw:
+        lines = [" ".join(x.split()).lower() for x in re.split(r"\r\n?|\n", r.raw_text) if x.strip()]
+        pages.setdefault(r.document_id, []).append((r.page_number, lines))
+    found = 0
+    for doc, some in pages.items():
+        for key in {lines[0] for _, lines in some if lines}:
+            at = [p for p, lines in some if lines[:1] == [key]]
+            if len(at) >= max(3, math.ceil(0.8 * len(some))) and key[:1].isalpha() and not re.search(r"\d", key) and len(key) >= 4:
+                found += 1
+                assert not any(clean[doc, p].lower().startswith(key + "\n") for p in at), (doc, key)
+    assert found
