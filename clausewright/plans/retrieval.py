@@ -292,12 +292,21 @@ def hash_embed(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", embed(F.col("text")).alias("v")).select("doc_id", F.round(T.l2_norm(F.col("v")), 4).alias("length"), F.size("v").alias("dimension"))
 
 
-@query()
-def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+def hybrid(s: SparkSession, d: str, queries: DataFrame) -> DataFrame:
     embed = R.hash_embedding(256)
     docs = chunks(s, d).where("text is not null").select(F.col("chunk_id").alias("key"), "text")
     vectors = docs.select("key", embed(F.col("text")).alias("vector"))
-    return R.hybrid_search(s, docs, vectors, asked(s).withColumn("vector", embed(F.col("query"))), 256)
+    return R.hybrid_search(s, docs, vectors, queries.withColumn("vector", embed(F.col("query"))), 256)
+
+
+@query()
+def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    return hybrid(s, d, asked(s))
+
+
+@query()
+def hybrid_many(s: SparkSession, d: str) -> DataFrame:
+    return hybrid(s, d, every_query(s, d))
 
 
 # incremental work, as batch and as stream

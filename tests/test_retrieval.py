@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clausewright.operators import evidence as E
 from clausewright.operators import retrieval as R
@@ -103,3 +104,19 @@ def test_edges_merge(spark):
     rows = [("p", "1", "HAS", "d", "2", "VERIFIED", "m"), ("p", "1", "HAS", "d", "2", "REQUIRES_REVIEW", "c"), ("p", "1", "HAS", "d", "3", None, "c")]
     got = {r.target_id: (r.status, r.provenance) for r in E.merge_edges(spark.createDataFrame(rows, "source_type string, source_id string, relation string, target_type string, target_id string, status string, provenance string")).collect()}
     assert got == {"2": ("REQUIRES_REVIEW", "c|m"), "3": ("UNVERIFIED", "c")}
+
+
+def test_hybrid_many_answers_every_query(spark):
+    from clausewright.plans import retrieval as P
+
+    root = "/root/testdata/sf0.001"
+    queries = P.every_query(spark, root)
+    many = {}
+    for r in P.QUERIES["hybrid_many"](spark, root).collect():
+        many.setdefault(r.query_id, []).append((r["rank"], r.key, r.fusion_score, r.rerank_score))
+    assert set(many) == {r.query_id for r in queries.collect()} and len(many) > 4
+    some = sorted(many)[:3]
+    alone = {}
+    for r in P.hybrid(spark, root, queries.where(F.col("query_id").isin(some))).collect():
+        alone.setdefault(r.query_id, []).append((r["rank"], r.key, r.fusion_score, r.rerank_score))
+    assert {q: sorted(many[q]) for q in some} == {q: sorted(alone[q]) for q in some}
