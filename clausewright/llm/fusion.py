@@ -8,12 +8,16 @@ worst point give its relative closeness, by which the group is ranked.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
-TRIM = 0.05
-LEAST_TRIMMED = 3
+from ..storage import materialize
+
+TRIM = 0.2
 ACCURACY = 10_000
+PLACES = 3
+ROWS_A_PART = 1_000_000
 
 
 def latest_candidates(df: DataFrame, group: str, item: str, scores: list[str], at: str) -> DataFrame:
@@ -32,82 +36,84 @@ def latest_candidates(df: DataFrame, group: str, item: str, scores: list[str], a
     return best.select("g", "i", *(F.col(f"best.x{k}").alias(f"x{k}") for k in range(len(scores))))
 
 
-def third_best(rows: DataFrame, m: int) -> DataFrame:
-    """Per group the count n and, for each score, its third highest value.
+def group_statistics(rows: DataFrame, m: int) -> DataFrame:
+    """Per group the count n and, for each score, p (lower and upper limit), lo, hi and t (its PLACES-th highest value).
 
-    Three aggregations with partial combining (the highest value, the next,
-    the one after, with their multiplicities); memory per group is constant.
-    A score with fewer than three values gets its lowest one, or null.
+    One aggregation that combines before its shuffle; its state is bounded for
+    any size of group. A score with fewer values has its lowest one as t, or
+    null.
     """
-    first = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.max(f"x{k}").alias(f"a{k}") for k in range(m)))
-    one = rows.join(first.drop("n"), "g")
-    second = one.groupBy("g").agg(*(F.count(F.when(F.col(f"x{k}") == F.col(f"a{k}"), 1)).alias(f"na{k}") for k in range(m)), *(F.max(F.when(F.col(f"x{k}") < F.col(f"a{k}"), F.col(f"x{k}"))).alias(f"b{k}") for k in range(m)))
-    two = rows.join(second.select("g", *(f"b{k}" for k in range(m))), "g")
-    last = two.groupBy("g").agg(*(F.count(F.when(F.col(f"x{k}") == F.col(f"b{k}"), 1)).alias(f"nb{k}") for k in range(m)), *(F.max(F.when(F.col(f"x{k}") < F.col(f"b{k}"), F.col(f"x{k}"))).alias(f"c{k}") for k in range(m)))
-    pick = lambda k: F.when(F.col(f"na{k}") >= 3, F.col(f"a{k}")).when(F.col(f"na{k}") + F.col(f"nb{k}") >= 3, F.col(f"b{k}")).otherwise(F.coalesce(f"c{k}", f"b{k}", f"a{k}"))
-    return first.join(second, "g").join(last, "g").select("g", "n", *(pick(k).alias(f"t{k}") for k in range(m)))
+    ks = range(m)
+    return rows.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.percentile_approx(f"x{k}", [TRIM, 1 - TRIM], ACCURACY).alias(f"p{k}") for k in ks),
+        *(F.min(f"x{k}").alias(f"lo{k}") for k in ks), *(F.max(f"x{k}").alias(f"hi{k}") for k in ks),
+        *(F.array_min(InternalFunction.collect_top_k(F.col(f"x{k}"), PLACES, False)).alias(f"t{k}") for k in ks),
+    )
 
 
-def _row_numbers(df: DataFrame, order: list[Column], coarse: Column, cap: int) -> DataFrame:
-    """``rank`` of each row within ``g``; groups of more than ``cap`` rows are cut.
+def _numbered(df: DataFrame, keep: list[str], m: int, part_rows: int) -> DataFrame:
+    """``rank`` of each written row within ``g`` and ``place``, which rows of equal closeness and scores share.
 
-    A large group is divided by ``coarse``, which must not decrease along
-    ``order``; a row's rank is its rank in its part plus the rows of the
-    parts before. Only counts per part meet in one task.
+    A group of more than ``part_rows`` rows is divided along the order; a
+    row's number is that in its part plus the rows of the parts before. Only
+    counts of parts meet in one task.
     """
-    within = Window.partitionBy("g", "part").orderBy(*order)
-    small = df.where(F.col("n") <= cap).withColumn("part", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(within).cast("long"))
-    large = df.where(F.col("n") > cap).withColumn("part", coarse.cast("long"))
+    c, steps = F.col("closeness"), 1 << 20
+    level = F.when(c >= 1, 0).when(c <= 0, steps + 2).otherwise(F.floor((1 - c) * steps) + 1).cast("long")
+    level = level * 1024 + F.when((c >= 1) | (c <= 0), F.floor((1 - F.col("scaled") / m) * 1023)).otherwise(0)  # many rows share the extremes
+    cut = df.withColumn("part", F.when(F.col("n") > part_rows, level).otherwise(F.lit(0).cast("long")))
     before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = large.groupBy("g", "part").count().select("g", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    ranked = large.withColumn("rank", F.row_number().over(within).cast("long")).join(offsets, ["g", "part"])
-    return small.unionByName(ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("before")).drop("part")
+    offsets = cut.groupBy("g", "part").count().select("g", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    best = [F.col("closeness").desc(), F.col("scaled").desc()]
+    part = Window.partitionBy("g", "part")
+    numbered = cut.withColumns({"row": F.row_number().over(part.orderBy(*best, F.col("i").asc())), "same": F.rank().over(part.orderBy(*best))})
+    return numbered.join(offsets, ["g", "part"]).select(*keep, (F.col("same") + F.col("before")).alias("place"), (F.col("row") + F.col("before")).alias("rank"))
 
 
-def ideal_point_ranking(rows: DataFrame, m: int, weights: list[float] | None = None, cap: int = 1_000_000) -> DataFrame:
+def ideal_point_ranking(rows: DataFrame, m: int, weights: list[float] | None = None, part_rows: int = ROWS_A_PART) -> DataFrame:
     """Rank the rows (g, i, x0..) of each group by relative closeness.
 
-    Upper limit of a score: its 95th percentile, or its third highest value in
-    groups of up to 60 rows; lower limit: the 5th percentile (percentile ranks
-    are exact to one in 10,000). A row without a score has the worst value in
-    it. Equal closeness is broken by the sum of the scores scaled to 0..1,
-    then by ``i``. A group in which no score tells rows apart has closeness 0
-    throughout. Result: g, i, x.., t.. (third best values), closeness, rank.
+    The limits of a score are its 20th and 80th percentile in every group,
+    small or large (percentile ranks are exact to one in 10,000). A row
+    without a score has the worst value in it. Equal closeness is broken by
+    the sum of the scores scaled to 0..1, then by ``i``. A group in which no
+    score tells rows apart has closeness 0 throughout. Intermediate rows are
+    written, so that joins with a group's figures may divide a hot group.
+    Result: g, i, x.., t.. (third best values), closeness, place, rank.
     """
     weights = weights or [1.0 / m] * m
     ks = range(m)
-    top = third_best(rows, m)
-    spread = rows.groupBy("g").agg(
-        *(F.percentile_approx(f"x{k}", [TRIM, 1 - TRIM], ACCURACY).alias(f"p{k}") for k in ks),
-        *(F.min(f"x{k}").alias(f"lo{k}") for k in ks), *(F.max(f"x{k}").alias(f"hi{k}") for k in ks),
-    )
-    few = F.col("n") <= LEAST_TRIMMED / TRIM
-    limits = top.join(spread, "g").select(
-        "g", "n", *(f"t{k}" for k in ks), *(f"lo{k}" for k in ks), *(f"hi{k}" for k in ks),
-        *(F.col(f"p{k}")[0].alias(f"l{k}") for k in ks),
-        *(F.when(few, F.greatest(F.col(f"t{k}"), F.col(f"p{k}")[0])).otherwise(F.col(f"p{k}")[1]).alias(f"u{k}") for k in ks),
+    rows = materialize(rows)
+    low, high = (lambda k: F.col(f"p{k}")[0]), (lambda k: F.col(f"p{k}")[1])
+    clip = lambda k: F.coalesce(F.least(F.greatest(F.col(f"x{k}"), low(k)), high(k)) - low(k), F.lit(0.0))
+    share = lambda k: F.coalesce(F.try_divide(F.col(f"x{k}") - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")), F.lit(0.0))
+    clipped = materialize(
+        rows.join(group_statistics(rows, m), "g").select(
+            "g", "i", "n", *(f"x{k}" for k in ks), *(f"t{k}" for k in ks), *(clip(k).alias(f"w{k}") for k in ks),
+            *(F.coalesce(high(k) - low(k), F.lit(0.0)).alias(f"best{k}") for k in ks), F.round(sum((share(k) for k in ks), F.lit(0.0)), 9).alias("scaled"),
+        )
     )
-    clipped = rows.join(limits, "g").withColumns({f"w{k}": F.coalesce(F.least(F.greatest(F.col(f"x{k}"), F.col(f"l{k}")), F.col(f"u{k}")) - F.col(f"l{k}"), F.lit(0.0)) for k in ks})
-    lengths = clipped.groupBy("g").agg(*(F.sqrt(F.sum(F.col(f"w{k}") * F.col(f"w{k}"))).alias(f"len{k}") for k in ks), *(F.max(f"w{k}").alias(f"best{k}") for k in ks))
+    lengths = clipped.groupBy("g").agg(*(F.sqrt(F.sum(F.col(f"w{k}") * F.col(f"w{k}"))).alias(f"len{k}") for k in ks))
     unit = lambda c, k: F.coalesce(F.try_divide(F.col(c), F.col(f"len{k}")), F.lit(0.0))
     square = lambda e: e * e
     away = F.sqrt(sum((square(F.lit(weights[k]) * (unit(f"best{k}", k) - unit(f"w{k}", k))) for k in ks), F.lit(0.0)))
     off = F.sqrt(sum((square(F.lit(weights[k]) * unit(f"w{k}", k)) for k in ks), F.lit(0.0)))
-    scaled = sum((F.coalesce(F.try_divide(F.col(f"x{k}") - F.col(f"lo{k}"), F.col(f"hi{k}") - F.col(f"lo{k}")), F.lit(0.0)) for k in ks), F.lit(0.0))
-    scored = (
-        clipped.join(lengths, "g")
-        .withColumns({"away": away, "off": off, "scaled": F.round(scaled, 9)})
-        .withColumn("closeness", F.round(F.coalesce(F.try_divide(F.col("off"), F.col("off") + F.col("away")), F.lit(0.0)), 9))
-        .select("g", "i", "n", *(f"x{k}" for k in ks), *(f"t{k}" for k in ks), "closeness", "scaled")
-    )
-    order = [F.col("closeness").desc(), F.col("scaled").desc(), F.col("i").asc()]
-    ranked = _row_numbers(scored, order, F.floor((1 - F.col("closeness")) * 65536) * 65536 + F.floor((1 - F.col("scaled") / m) * 65535), cap)
-    return ranked.drop("n", "scaled")
+    closeness = F.round(F.coalesce(F.try_divide(F.col("off"), F.col("off") + F.col("away")), F.lit(0.0)), 9)
+    keep = ["g", "i", *(f"x{k}" for k in ks), *(f"t{k}" for k in ks), "closeness"]
+    scored = materialize(clipped.join(lengths, "g").withColumns({"away": away, "off": off}).withColumn("closeness", closeness).select(*keep, "n", "scaled"))
+    return _numbered(scored, keep, m, part_rows)
 
 
 def leaders(ranking: DataFrame, m: int) -> DataFrame:
-    """Rows of an ideal_point_ranking that are among the first three by every score."""
-    keep = F.lit(True)
+    """Rows of an ideal_point_ranking that are among the first three by every score.
+
+    They are taken from the head of the ranking and then checked. The head
+    holds them all: closeness never falls when a score rises, so only a row
+    with a greater value in some score can stand before such a row, and each
+    score has two of those at most. Its place is 2m + 1 or better.
+    """
+    keep = F.col("place") <= (PLACES - 1) * m + 1
     for k in range(m):
         keep = keep & (F.col(f"x{k}") >= F.col(f"t{k}"))
     return ranking.where(keep)

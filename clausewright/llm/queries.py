@@ -80,6 +80,7 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates that head their query's ranking and are among its first three by every score."""
     return fusion.leaders(_ranking(spark, d), len(SCORES)).select(F.col("g").alias("query_id"), F.col("i").alias("chunk_id"))
 
 

@@ -32,6 +32,25 @@ NEAREST = """
       SELECT a.chunk_id, b.chunk_id AS neighbour_id, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 6) AS similarity FROM v a JOIN v b ON a.chunk_id <> b.chunk_id)) WHERE rank <= 5
 """
 
+SCORES = ("similarity", "bm25_score", "fusion_score", "reranker_score")
+NEWEST = "SELECT query_id, chunk_id, " + ", ".join(f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c} END AS x{k}" for k, c in enumerate(SCORES)) + """
+  FROM hybrid_results QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY scored_at DESC) = 1"""
+ORDERED = ", ".join(f"row_number() OVER (PARTITION BY query_id ORDER BY x{k} NULLS LAST) AS r{k}, count(x{k}) OVER (PARTITION BY query_id) AS c{k}" for k in range(4))
+LIMITS = ", ".join(f"min(x{k}) AS lo{k}, max(x{k}) AS hi{k}, max(CASE WHEN r{k} = greatest(1, ceil(0.2 * c{k})) THEN x{k} END) AS l{k}, max(CASE WHEN r{k} = greatest(1, ceil(0.8 * c{k})) THEN x{k} END) AS u{k}" for k in range(4))
+CLIPPED = ", ".join(f"coalesce(least(greatest(x{k}, l{k}), u{k}) - l{k}, 0) AS w{k}, coalesce(u{k} - l{k}, 0) AS best{k}" for k in range(4))
+SCALED = " + ".join(f"CASE WHEN hi{k} > lo{k} AND x{k} IS NOT NULL THEN (x{k} - lo{k}) / (hi{k} - lo{k}) ELSE 0 END" for k in range(4))
+UNITS = ", ".join(f"CASE WHEN sum(w{k} * w{k}) OVER q > 0 THEN sqrt(sum(w{k} * w{k}) OVER q) END AS len{k}" for k in range(4))
+OFF = "sqrt(" + " + ".join(f"pow(0.25 * coalesce(w{k} / len{k}, 0), 2)" for k in range(4)) + ")"
+AWAY = "sqrt(" + " + ".join(f"pow(0.25 * (coalesce(best{k} / len{k}, 0) - coalesce(w{k} / len{k}, 0)), 2)" for k in range(4)) + ")"
+RANKED = f"""
+  WITH newest AS ({NEWEST}), ordered AS (SELECT *, {ORDERED} FROM newest), limits AS (SELECT query_id, {LIMITS} FROM ordered GROUP BY query_id),
+  clipped AS (SELECT query_id, chunk_id, {CLIPPED}, round({SCALED}, 9) AS scaled FROM newest JOIN limits USING (query_id)),
+  units AS (SELECT *, {UNITS} FROM clipped WINDOW q AS (PARTITION BY query_id)),
+  parts AS (SELECT query_id, chunk_id, scaled, {OFF} AS o, {AWAY} AS a FROM units),
+  closest AS (SELECT query_id, chunk_id, scaled, round(CASE WHEN o + a > 0 THEN o / (o + a) ELSE 0 END, 9) AS closeness FROM parts)
+  SELECT query_id, chunk_id, closeness, row_number() OVER (PARTITION BY query_id ORDER BY closeness DESC, scaled DESC, chunk_id) AS rank FROM closest
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
@@ -48,6 +67,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "p3_top_chunks": f"SELECT * FROM ({TOP}) WHERE rank <= 5",
         "p3_found": f"SELECT query_id, chunk_id FROM ({TOP}) WHERE rank <= 5",
+        "p5_ranking": RANKED,
         "p5_found": f"""
             WITH newest AS (
               SELECT query_id, chunk_id, similarity AS s, bm25_score AS b, fusion_score AS f, CASE WHEN reranker_score::VARCHAR = 'nan' THEN NULL ELSE reranker_score END AS r

@@ -1,6 +1,5 @@
 import datetime
-
-from pyspark.sql import functions as F
+import random
 
 from clausewright.llm import fusion
 
@@ -33,10 +32,20 @@ def test_missing_scores_repeats_ties(spark):
 def test_large_group_is_cut_alike(spark):
     rows = [("q", f"c{k:03d}", float(k % 37), float(k % 11), T0, "g") for k in range(300)]
     whole = {(r.i, r["rank"]) for r in ranking(spark, rows).collect()}
-    cut = {(r.i, r["rank"]) for r in ranking(spark, rows, cap=10).collect()}
+    cut = {(r.i, r["rank"]) for r in ranking(spark, rows, part_rows=10).collect()}
     assert whole == cut
 
 
+def brute_leaders(rows):
+    out = set()
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        for r in own:
+            if all(r[k] is not None and sum(o[k] is not None and o[k] > r[k] for o in own) < 3 for k in (2, 3)):
+                out.add((g, r[1]))
+    return out
+
+
 def test_leaders_are_first_by_every_score(spark):
     rows = [("q", f"c{k}", float(k), float(100 - k), T0, "g") for k in range(20)] + [("q", "lead", 18.5, 98.5, T0, "g")]
     r = ranking(spark, rows)
@@ -44,6 +53,18 @@ def test_leaders_are_first_by_every_score(spark):
     assert r.where("rank = 1").select("i").first()[0] == "lead"
 
 
+def test_head_of_the_ranking_holds_all_leaders(spark):
+    pick = random.Random(3)
+    value = lambda: pick.choice([None, float(pick.randint(0, 6)), pick.gauss(0, 100)])
+    rows = [(f"q{g}", f"c{k:02d}", value(), value(), T0, "g") for g in range(60) for k in range(pick.choice([1, 2, 5, 15, 40]))]
+    rows += [("same", f"c{k:02d}", 1.0, 2.0, T0, "g") for k in range(30)]
+    want = brute_leaders(rows)
+    got = {(x.g, x.i) for x in fusion.leaders(ranking(spark, rows), 2).collect()}
+    assert got == want and len(want) > 60
+    assert {(x.g, x.i) for x in fusion.leaders(ranking(spark, rows, part_rows=3), 2).collect()} == want
+
+
 def test_third_best_counts_equal_values(spark):
-    rows = spark.createDataFrame([("q", str(k), v) for k, v in enumerate([5.0, 5.0, 4.0, 3.0, None])], "g string, i string, x0 double")
-    assert fusion.third_best(rows, 1).select("n", F.col("t0")).first() == (5, 4.0)
+    rows = spark.createDataFrame([("q", str(k), v) for k, v in enumerate([5.0, 5.0, 4.0, 3.0, None])] + [("r", "1", None)], "g string, i string, x0 double")
+    got = {r.g: (r.n, r.t0) for r in fusion.group_statistics(rows, 1).collect()}
+    assert got == {"q": (5, 4.0), "r": (1, None)}
