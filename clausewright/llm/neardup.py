@@ -1,25 +1,34 @@
-"""Near-duplicate texts by anchor-point covering of bit fingerprints.
+"""Near-duplicate texts by anchor-point covering of fingerprints.
 
 Texts with the same words (in any order) form one class. Each class has a
-fingerprint of min-hash bits over its multiset of words: two classes differ
-in a bit with probability (1 - agreement) / 2. The bits come in blocks of 23,
-the length of the perfect binary Golay code, whose 4,096 words are the anchors:
-every block lies within radius 3 of exactly one, its home. Blocks of a pair
-that differ in at most SLACK bits meet at the home of one of them if the other
-is sent to every anchor within 3 + SLACK. Each anchor compares the blocks at
-home there with those sent there; candidates are then checked word by word.
-
-At an agreement of 0.75 a block differs in at most one bit with probability
-0.2, so a pair is missed by all of BLOCKS = 48 blocks with probability 2e-5,
-and by the check bits with 1e-6; at 0.8 the sum is below 1e-6, whatever the
-number of texts. No pair of texts is formed outside an anchor, and an anchor
-that holds a third of all blocks is divided by adaptive skew joins.
+fingerprint from min-hashes over its multiset of words: two classes differ in
+a bit with probability (1 - agreement) / 2 and in a min-hash with 1 -
+agreement. The fingerprint is cut into blocks of 23 bits and ``wide``
+min-hashes of eight bits. The anchors of a block are the words of a product
+code: the perfect binary Golay code over the bits (every 23 bits lie within
+radius 3 of exactly one word, the home) times the trivial code over the
+min-hashes. Blocks of a pair that differ in at most SLACK bits and in no
+min-hash meet at the home of one of them if the other is sent to every anchor
+within 3 + SLACK. Each anchor compares the blocks at home there with those
+sent there; candidates are then checked word by word.
+
+The code's length grows with the number n of classes: ``wide`` is the number
+of times that SPREAD divides n / (4096 LOAD), so that the blocks at home at an
+anchor stay about LOAD as long as unrelated texts agree in up to 1 / SPREAD of
+their words. More min-hashes make a meeting less likely, so there are more
+blocks: enough that a pair at 0.75 agreement is missed by all with
+probability MISS, and by the check bits with 1e-6; both fall steeply above.
+The tests of a class grow as its blocks, n to the power 0.14; the work as n
+to the power 1.14. No pair of texts is formed outside an anchor, and an
+anchor that many blocks share is divided by adaptive skew joins.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +42,15 @@ from ..storage import materialize
 BITS = 23
 RADIUS = 3
 SLACK = 1
-BLOCKS = 48
+LEAST_AGREEMENT = 0.75
+MISS = 2e-5
+LOAD = 4
+SPREAD = 8
 CHECK_BITS = 128
 CHECK_LIMIT = 36
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the Golay code
 SEED = 20_011
-VOCABULARY = 8_000
+TABLE_BYTES = 64 << 20
 CID = "cid long"
 
 
@@ -48,15 +60,55 @@ def words(text: Column) -> Column:
 
 
 def bags(df: DataFrame, key: str, text: str, fallback: str, least: int) -> DataFrame:
-    """Distinct (key, cid, bag, n): the sorted words of each row of at least ``least`` words.
+    """Distinct (key, form, bag, n): the sorted words of each row of at least ``least`` words.
 
     ``fallback`` stands in for a null text; a row with neither, or with fewer
-    words, or with a null key, has none. ``cid`` is the class of equal bags.
+    words, or with a null key, has none. ``form`` is the 256-bit digest of the
+    bag, by which rows of equal words meet. Of several rows of a key with
+    different words each has its own form.
     """
     bag = F.array_sort(words(F.coalesce(F.col(text), F.col(fallback))))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), bag.alias("bag")).where(F.size("bag") >= least)
     flat = F.array_join("bag", " ")
-    return rows.select("key", F.xxhash64(flat).alias("cid"), flat.alias("bag"), F.size("bag").alias("n")).distinct()
+    return rows.select("key", F.unhex(F.sha2(flat, 256)).alias("form"), flat.alias("bag"), F.size("bag").alias("n")).dropDuplicates(["key", "form"])
+
+
+def classes_of(members: DataFrame) -> DataFrame:
+    """One written row per class of equal bags: cid, form, bag, n.
+
+    All rows of a form hold the same bag, so any of them serves. ``cid`` is a
+    running number, so no two classes share one; it is fixed by being written.
+    """
+    some = members.groupBy("form").agg(F.min_by("bag", "key").alias("bag"), F.min("n").alias("n"))
+    return materialize(some.select(F.monotonically_increasing_id().alias("cid"), "form", "bag", "n"))
+
+
+def membership(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cid) of every member."""
+    return members.select("key", "form").join(classes.select("form", "cid"), "form").select("key", "cid")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The code's length for a number of classes: min-hashes a block, and blocks."""
+
+    wide: int
+    blocks: int
+
+    @staticmethod
+    def of(classes: int) -> Plan:
+        wide = max(0, math.ceil(math.log(max(classes, 1) / ((LOAD << (BITS - 11)))) / math.log(SPREAD)))
+        same = (1 + LEAST_AGREEMENT) / 2
+        meet = sum(math.comb(BITS, k) * same ** (BITS - k) * (1 - same) ** k for k in range(SLACK + 1)) * LEAST_AGREEMENT**wide
+        return Plan(wide, math.ceil(math.log(MISS) / math.log(1 - meet)))
+
+    @property
+    def bits(self) -> int:
+        return self.blocks * BITS + CHECK_BITS
+
+    @property
+    def hashes(self) -> int:
+        return self.bits + self.blocks * self.wide
 
 
 @lru_cache(maxsize=1)
@@ -96,30 +148,31 @@ def anchors_within(blocks: np.ndarray) -> np.ndarray:
     return np.where(found < 0, -1, (blocks[..., None] ^ found) >> 11)
 
 
-@lru_cache(maxsize=1)
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _mixers(n: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(SEED)
-    n = BLOCKS * BITS + CHECK_BITS
     return random.integers(1, 2**63, n, np.uint64) * 2 + 1, random.integers(0, 2**63, n, np.uint64)
 
 
 class Fingerprints:
-    """Min-hash bits of multisets; hash rows of words are kept while they fit."""
+    """Min-hashes of multisets; hash rows of words are kept while they fit."""
 
-    def __init__(self) -> None:
+    def __init__(self, plan: Plan) -> None:
+        self.plan = plan
         self.index: dict[str, int] = {}
-        self.table = np.empty((VOCABULARY, BLOCKS * BITS + CHECK_BITS), np.uint32)
+        self.table = np.empty((max(64, TABLE_BYTES // (4 * plan.hashes)), plan.hashes), np.uint32)
 
     def rows(self, elements: list[str]) -> np.ndarray:
+        room = len(self.table)
         new = [e for e in elements if e not in self.index]
-        if len(self.index) + len(new) > VOCABULARY:
+        if len(self.index) + len(new) > room:
             self.index.clear()
             new = elements
-        if len(new) > VOCABULARY:  # one text with more elements than are kept
-            parts = [self.rows(elements[k : k + VOCABULARY]).min(0) for k in range(0, len(elements), VOCABULARY)]
+        if len(new) > room:  # one text with more elements than are kept
+            parts = [self.rows(elements[k : k + room]).min(0) for k in range(0, len(elements), room)]
             return np.array(parts)
         if new:
-            a, b = _mixers()
+            a, b = _mixers(self.plan.hashes)
             h = np.array([xxhash.xxh64_intdigest(e) for e in new], np.uint64)[:, None]
             with np.errstate(over="ignore"):
                 h = (h ^ b) * a
@@ -131,39 +184,62 @@ class Fingerprints:
                 self.index[e] = first + k
         return self.table[[self.index[e] for e in elements]]
 
-    def bits(self, bag: str) -> np.ndarray:
-        """The fingerprint; the k-th occurrence of a word is an element of its own."""
+    def minima(self, bag: str) -> np.ndarray:
+        """The low byte of each min-hash; the k-th occurrence of a word is an element of its own."""
         seen: Counter[str] = Counter()
         elements = []
         for w in bag.split(" "):
             elements.append(f"{w} {seen[w]}" if seen[w] else w)
             seen[w] += 1
-        return (self.rows(elements).min(0) & 1).astype(np.uint8)
+        return self.rows(elements).min(0).astype(np.uint8)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    prints = Fingerprints()
-    place = 1 << np.arange(BITS, dtype=np.int64)
-    for batch in batches:
-        bits = np.array([prints.bits(b) for b in batch.column("bag").to_pylist()], np.uint8).reshape(batch.num_rows, -1)
-        blocks = (bits[:, : BLOCKS * BITS].reshape(-1, BLOCKS, BITS) @ place).astype(np.int32)
-        check = np.packbits(bits[:, BLOCKS * BITS :], axis=1).view(">i8").astype(np.int64)
-        homes = anchors_within(blocks)[..., 0] | np.arange(BLOCKS) << 12
-        listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.int32).ravel()), BLOCKS).cast(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(check[:, 0]), pa.array(check[:, 1]), listed(blocks), listed(homes)], ["cid", "n", "c0", "c1", "blocks", "homes"])
+def _sides(wide: np.ndarray) -> np.ndarray:
+    """40 bits of the block's number and its min-hashes, above the anchor's 12."""
+    mixed = np.broadcast_to(np.arange(wide.shape[1], dtype=np.uint64) + np.uint64(1), wide.shape[:2])
+    with np.errstate(over="ignore"):
+        for k in range(wide.shape[2]):
+            mixed = (mixed ^ (wide[:, :, k].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = mixed ^ (mixed >> np.uint64(31))
+        mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(24)).astype(np.int64) << 12
 
 
-def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2_000):
-            part = batch.slice(start, 2_000)
-            blocks = part.column("blocks").flatten().to_numpy().reshape(-1, BLOCKS)
-            near = anchors_within(blocks)
-            row, block, at = np.nonzero(near >= 0)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((near[row, block, at] | block << 12).astype(np.int32)), pa.array(blocks[row, block]), *(part.column(c).take(take) for c in ("cid", "n", "c0", "c1"))], ["anchor", "block", "cid", "n", "c0", "c1"]
-            )
+def fingerprints(classes: DataFrame, plan: Plan) -> DataFrame:
+    """cid, n, c0, c1 (check bits), blocks, sides (the part of the anchor beyond the Golay code) of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints(plan)
+        place = 1 << np.arange(BITS, dtype=np.int64)
+        for batch in batches:
+            least = np.array([prints.minima(b) for b in batch.column("bag").to_pylist()], np.uint8).reshape(batch.num_rows, plan.hashes)
+            bits = least[:, : plan.bits] & 1
+            blocks = (bits[:, : plan.blocks * BITS].reshape(-1, plan.blocks, BITS) @ place).astype(np.int32)
+            check = np.packbits(bits[:, plan.blocks * BITS :], axis=1).view(">i8").astype(np.int64)
+            sides = _sides(least[:, plan.bits :].reshape(batch.num_rows, plan.blocks, plan.wide))
+            listed = lambda x, kind: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), kind), plan.blocks).cast(pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(check[:, 0]), pa.array(check[:, 1]), listed(blocks, pa.int32()), listed(sides, pa.int64())], ["cid", "n", "c0", "c1", "blocks", "sides"])
+
+    return classes.select("cid", "n", "bag").mapInArrow(run, f"{CID}, n int, c0 long, c1 long, blocks array<int>, sides array<long>")
+
+
+def sent(prints: DataFrame, plan: Plan, home: bool) -> DataFrame:
+    """anchor, block, cid, n, c0, c1: every block at its home, or at all anchors within RADIUS + SLACK."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1_000):
+                part = batch.slice(start, 1_000)
+                blocks = part.column("blocks").flatten().to_numpy().reshape(-1, plan.blocks)
+                sides = part.column("sides").flatten().to_numpy().reshape(-1, plan.blocks)
+                near = anchors_within(blocks)
+                if home:
+                    near = near[..., :1]
+                row, block, at = np.nonzero(near >= 0)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(sides[row, block] | near[row, block, at]), pa.array(blocks[row, block]), *(part.column(c).take(take) for c in ("cid", "n", "c0", "c1"))], ["anchor", "block", "cid", "n", "c0", "c1"])
+
+    return prints.mapInArrow(run, f"anchor long, block int, {CID}, n int, c0 long, c1 long")
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +253,13 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(either, pa.int32())], ["a", "b", "common", "either"])
 
 
-def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of classes (cid, bag, n) whose words agree to ``threshold`` (at least 0.75): a, b, agreement."""
-    if not 0.75 <= threshold <= 1:
+def class_links(classes: DataFrame, threshold: float, plan: Plan | None = None) -> DataFrame:
+    """Pairs a < b of written classes (cid, bag, n) whose words agree to ``threshold`` (at least 0.75): a, b, agreement."""
+    if not LEAST_AGREEMENT <= threshold <= 1:
         raise ValueError("the number of blocks is chosen for thresholds from 0.75")
-    prints = materialize(classes.mapInArrow(_fingerprints, f"{CID}, n int, c0 long, c1 long, blocks array<int>, homes array<int>"))
-    pair = F.explode(F.arrays_zip(F.col("homes").alias("anchor"), F.col("blocks").alias("block")))
-    home = prints.select("cid", "n", "c0", "c1", pair.alias("p")).select(F.col("p.anchor").alias("anchor"), F.col("p.block").alias("block"), "cid", "n", "c0", "c1").alias("h")
-    away = prints.mapInArrow(_visits, f"anchor int, block int, {CID}, n int, c0 long, c1 long").alias("v")
+    plan = plan or Plan.of(classes.count())
+    prints = materialize(fingerprints(classes, plan))
+    home, away = sent(prints, plan, True).alias("h"), sent(prints, plan, False).alias("v")
     differ = lambda c: F.bit_count(F.col(f"h.{c}").bitwiseXOR(F.col(f"v.{c}")))
     short, long = F.least("h.n", "v.n"), F.greatest("h.n", "v.n")
     near = (F.col("h.anchor") == F.col("v.anchor")) & (F.col("h.cid") < F.col("v.cid")) & (differ("block") <= SLACK) & (differ("c0") + differ("c1") <= CHECK_LIMIT) & (short >= long * threshold)
@@ -195,14 +270,8 @@ def class_links(classes: DataFrame, threshold: float) -> DataFrame:
     return checked.where(F.col("common") >= F.col("either") * threshold).select("a", "b", (F.col("common") / F.col("either")).alias("agreement"))
 
 
-def classes_of(members: DataFrame) -> DataFrame:
-    """One row per class of equal bags: cid, bag, n."""
-    return members.groupBy("cid").agg(F.first("bag").alias("bag"), F.first("n").alias("n"))
-
-
-def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct pairs key_a < key_b of rows of linked or equal classes."""
-    own = members.select("key", "cid")
+def expand_pairs(own: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct pairs key_a < key_b of rows (key, cid) of linked or equal classes."""
     shared = own.groupBy("cid").count().where("count > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     joined = links.select("a", "b").unionByName(shared)
     pairs = joined.join(own.withColumnsRenamed({"cid": "a", "key": "x"}), "a").join(own.withColumnsRenamed({"cid": "b", "key": "y"}), "b").where("x <> y")
@@ -234,17 +303,19 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(both.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct().join(stars.select("node"), "node", "left_anti"))
 
 
-def groups(df: DataFrame, key: str, members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per key of ``df``: group_id (least key of its group), class id, links of its class.
+def groups(df: DataFrame, key: str, own: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per key of ``df``: group_id (least key of its group), class_id (least key of its class), links of its class to other classes.
 
-    A key without enough words is a group of its own with a null class.
+    A key without enough words is a group of its own with a null class. A key
+    with rows of different words takes the class of the greatest class_id.
     """
     rows = materialize(links.select("a", "b"))
     roots = components(rows)
     degree = rows.select(F.col("a").alias("cid")).unionByName(rows.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("n_links"))
-    own = members.groupBy("key").agg(F.min("cid").alias("cid")).join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(degree, "cid", "left")
-    own = own.withColumns({"root": F.coalesce("root", "cid"), "n_links": F.coalesce("n_links", F.lit(0))})
-    heads = own.groupBy("root").agg(F.min("key").alias("group_id"))
-    found = own.join(heads, "root").select("key", "group_id", F.col("cid").alias("class_id"), "n_links")
+    heads = own.groupBy("cid").agg(F.min("key").alias("class_id")).join(roots.withColumnRenamed("node", "cid"), "cid", "left").join(degree, "cid", "left")
+    heads = heads.withColumns({"root": F.coalesce("root", "cid"), "n_links": F.coalesce("n_links", F.lit(0))})
+    least = heads.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    found = own.join(heads.join(least, "root"), "cid").groupBy("key").agg(F.max(F.struct("class_id", "group_id", "n_links")).alias("c"))
     keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-    return keys.join(found, "key", "left").select(F.col("key").alias(key), F.coalesce("group_id", "key").alias("group_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = keys.join(found, "key", "left")
+    return joined.select(F.col("key").alias(key), F.coalesce("c.group_id", "key").alias("group_id"), F.col("c.class_id").alias("class_id"), F.coalesce("c.n_links", F.lit(0)).alias("n_links"))

@@ -19,18 +19,19 @@ CLOSE = 0.80
 
 def _same_passage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     members = materialize(neardup.bags(table(spark, d, "chunks"), "chunk_id", "text", "search_vector", LEAST_WORDS))
-    return members, neardup.class_links(materialize(neardup.classes_of(members)), AGREEMENT)
+    classes = neardup.classes_of(members)
+    return neardup.membership(members, classes), neardup.class_links(classes, AGREEMENT)
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk with the group of chunks that tell the same passage."""
-    members, links = _same_passage(spark, d)
-    return neardup.groups(table(spark, d, "chunks"), "chunk_id", members, links)
+    own, links = _same_passage(spark, d)
+    return neardup.groups(table(spark, d, "chunks"), "chunk_id", own, links)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    members, links = _same_passage(spark, d)
-    return neardup.expand_pairs(members, links).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
+    own, links = _same_passage(spark, d)
+    return neardup.expand_pairs(own, links).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -24,6 +24,17 @@ AGREEING = f"""
         FROM t a JOIN t b ON a.term = b.term AND a.chunk_id < b.chunk_id AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) GROUP BY 1, 2)
   SELECT chunk_a, chunk_b FROM p WHERE common >= 0.75 * (na + nb - common)
 """
+GROUPED = f"""
+  WITH RECURSIVE bag AS (SELECT DISTINCT chunk_id, list_sort({WORDS}) AS w FROM chunks WHERE len({WORDS}) >= 20),
+  class AS (SELECT w, min(chunk_id) AS class_id FROM bag GROUP BY w), own AS (SELECT chunk_id, class_id FROM bag JOIN class USING (w)),
+  pair AS ({AGREEING}),
+  link AS (SELECT DISTINCT a.class_id AS x, b.class_id AS y FROM pair JOIN own a ON a.chunk_id = chunk_a JOIN own b ON b.chunk_id = chunk_b WHERE a.class_id <> b.class_id),
+  edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+  reach AS (SELECT class_id AS x, class_id AS y FROM class UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y),
+  head AS (SELECT x AS class_id, min(y) AS group_id FROM reach GROUP BY x), degree AS (SELECT x AS class_id, count(*) AS n FROM edge GROUP BY x)
+  SELECT k.chunk_id, coalesce(group_id, k.chunk_id) AS group_id, own.class_id, CAST(coalesce(degree.n, 0) AS INTEGER) AS n_links
+  FROM (SELECT DISTINCT chunk_id FROM chunks) k LEFT JOIN own ON own.chunk_id = k.chunk_id LEFT JOIN head ON head.class_id = own.class_id LEFT JOIN degree ON degree.class_id = own.class_id
+"""
 NEAREST = """
   WITH v AS (SELECT chunk_id, max(embedding) AS e FROM chunk_vectors, index_config WHERE is_active AND chunk_vectors.embedding_model = index_config.embedding_model AND len(embedding) = dimension
              AND len(list_filter(embedding, lambda x: x IS NULL OR x::VARCHAR = 'nan' OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)
@@ -56,6 +67,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     return {
         "p1_found": AGREEING,
+        "p1_groups": GROUPED,
         "p4_neighbours": NEAREST,
         "p4_found": f"SELECT DISTINCT least(chunk_id, neighbour_id) AS chunk_a, greatest(chunk_id, neighbour_id) AS chunk_b FROM ({NEAREST}) WHERE similarity >= 0.80",
         "p2_found": f"""

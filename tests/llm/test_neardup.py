@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -44,18 +45,22 @@ def make(n):
     return rows
 
 
-def links(df):
+def links(df, plan=None):
     members = neardup.bags(df, "chunk_id", "text", "search_vector", 20)
-    return members, neardup.class_links(neardup.classes_of(members), 0.75)
+    classes = neardup.classes_of(members)
+    return neardup.membership(members, classes), neardup.class_links(classes, 0.75, plan)
 
 
 def test_pairs_and_groups(spark):
     rows = make(250)
     df = spark.createDataFrame(rows, SCHEMA)
-    members, found = links(df)
+    own, found = links(df)
     want = brute(rows)
-    assert {tuple(r) for r in neardup.expand_pairs(members, found).collect()} == want and len(want) > 50
-    got = {r.chunk_id: r.group_id for r in neardup.groups(df, "chunk_id", members, found).collect()}
+    assert {tuple(r) for r in neardup.expand_pairs(own, found).collect()} == want and len(want) > 50
+    longer = neardup.Plan.of(10**6)
+    assert longer.wide > 1
+    assert {tuple(r) for r in neardup.expand_pairs(*links(df, longer)).collect()} == want
+    got = {r.chunk_id: r.group_id for r in neardup.groups(df, "chunk_id", own, found).collect()}
     root = {i: i for i in got}
 
     def find(x):
@@ -72,9 +77,9 @@ def test_pairs_and_groups(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    members, found = links(df)
-    assert neardup.expand_pairs(members, found).count() == 0
-    assert neardup.groups(df, "chunk_id", members, found).count() == 0
+    own, found = links(df)
+    assert neardup.expand_pairs(own, found).count() == 0
+    assert neardup.groups(df, "chunk_id", own, found).count() == 0
 
 
 def test_chain_of_links_is_one_component(spark):
@@ -89,3 +94,26 @@ def test_code_covers_every_block():
     for flip in (0, *(1 << b for b in range(23))):
         other = neardup.anchors_within(blocks ^ flip)[:, 0]
         assert (near == other[:, None]).any(1).all()
+
+
+def test_code_grows_with_the_number_of_classes():
+    loads = [neardup.Plan.of(n) for n in (0, 1, 10**4, 10**5, 10**6, 10**9)]
+    assert loads[0].wide == loads[2].wide == 0 and [p.wide for p in loads[3:]] == [1, 2, 6]
+    assert [p.blocks for p in loads] == sorted(p.blocks for p in loads)
+    for n, p in zip((10**4, 10**5, 10**6, 10**9), loads[2:], strict=True):
+        assert n / 4096 / neardup.SPREAD**p.wide <= neardup.LOAD
+
+
+def test_tests_of_a_class_do_not_grow_with_the_collection(spark):
+    """Pairs that meet at an anchor, counted for unrelated texts at three sizes; LOAD low, so that the code grows at once."""
+    random.seed(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    per_class = []
+    for n in (400, 1600, 6400):
+        rows = [(k, " ".join(sorted(random.choices(vocabulary, k=60))), 60) for k in range(n)]
+        classes = spark.createDataFrame(rows, "cid long, bag string, n int")
+        plan = neardup.Plan(wide=round(math.log(n / 400, 8) * 3) // 3 + (n > 400), blocks=12)
+        prints = neardup.fingerprints(classes, plan)
+        home, away = neardup.sent(prints, plan, True), neardup.sent(prints, plan, False)
+        per_class.append(home.join(away, "anchor").count() / n)
+    assert per_class[2] < 2 * per_class[0]
