@@ -53,3 +53,27 @@ def test_recall_blocks_and_copies(spark, monkeypatch):
 def test_empty_and_single(spark):
     assert N.nearest_vectors(spark.createDataFrame([], SCHEMA), "chunk_id", "embedding", 24).count() == 0
     assert N.nearest_vectors(spark.createDataFrame([("a", [1.0] * 24, "x", 1)], SCHEMA), "chunk_id", "embedding", 24).count() == 0
+
+
+def test_lists_grow_with_vectors_and_dense_regions():
+    random = np.random.default_rng(2)
+    x = random.normal(size=(2000, 16))
+    x[:700] = x[0] + random.normal(size=(700, 16)) * 0.01  # a third of all in a small region
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [N.Quantiser(x, total) for total in (2_000, 20_000, 200_000)]
+    assert [len(q.subs) for q in sizes][0] == 1 and sizes[0].lists < sizes[1].lists < sizes[2].lists
+    assert [q.visited(16) for q in sizes] == sorted(q.visited(16) for q in sizes) and sizes[2].visited(16) > 16
+    dense = np.bincount(sizes[2].encode(x[:700].astype(np.float32))[0])
+    assert dense.max() * 100 < 4 * 4 * N.LIST_SIZE * 10
+    at = sizes[2].encode(x.astype(np.float32))[0]
+    visited = sizes[2].probes(x.astype(np.float32), 16)
+    assert np.mean((visited == at[:, None]).any(1)) > 0.95 and all(len(set(r)) == len(r) for r in visited[:50])
+
+
+def test_two_levels_of_lists_keep_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(N, "LIST_SIZE", 8)
+    monkeypatch.setattr(N, "CELLS", 10)
+    vectors = data()
+    want = brute(vectors, 5)
+    got = {(r.id, r.other) for r in N.nearest_vectors(spark.createDataFrame(rows_of(vectors), SCHEMA), "chunk_id", "embedding", 24, 5).collect()}
+    assert len(got & want) / len(want) > 0.95
