@@ -122,6 +122,12 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical_text(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "canonical")
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the class of documents that look the same."""
+    forms = canon.canonical_text(table(spark, d, "documents"), "doc_id", "text")
+    return canon.same_looking_groups(forms).withColumnRenamed("key", "doc_id")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     forms = canon.canonical_text(table(spark, d, "documents"), "doc_id", "text")
     return canon.same_looking_pairs(forms).select(F.col("key_a").alias("doc_a"), F.col("key_b").alias("doc_b"))
@@ -129,4 +135,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     """All pN_ queries by name."""
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p6_found, p6_pages, p6_documents, p7_ids, p8_bins, p9_found, p9_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_top_chunks, p4_found, p4_neighbours, p5_found, p5_ranking, p6_found, p6_pages, p6_documents, p7_ids, p8_bins, p9_found, p9_groups, p9_canonical)}
