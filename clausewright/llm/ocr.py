@@ -1,12 +1,15 @@
 """Repair of text from scanned pages: furniture, broken words, misread characters.
 
-Running lines and page numbers are found by their position on the page and by
-how they recur over the pages of a document. Misread words are corrected by
-an averaged perceptron that edits characters (keep, replace, delete, insert);
-it learns from pairs of a rare and a frequent word of this very corpus that
-differ in one short stretch. Its proposals count when the corpus has the
-proposed word far more often. The parts of a word broken at a line or page
-end are joined with or without the hyphen, whichever the corpus knows.
+An averaged perceptron decides three things. Of the lines at the head and foot
+of a page it tells running lines and page numbers from the body by features of
+the position on the page (side, rank, gap, width) and of how the line and its
+number recur over the pages of a document and over documents. As an editor of
+characters (keep, replace, delete, insert) it corrects misread words and
+numbers; it learns from pairs of a rare and a frequent word of this very corpus
+that differ in one short stretch. At the end of a line inside a divided word it
+says whether the parts are joined or keep the hyphen. A proposed word counts
+when the corpus has it far more often. No labels exist: the perceptron is
+fitted on a bounded sample that labelling rules mark, and decides everywhere.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from ..storage import materialize
 
 MARGIN = 4
 TRAINING_WORDS = 12_000
+TRAINING_LINES = 6_000
+TRAINING_NUMBERS = 1_000
 LEAST_SUPPORT = 3
 MARGIN_RATIO = 8
 EPOCHS = 4
@@ -70,7 +75,7 @@ def page_label(line: str) -> tuple[int, str] | None:
         number = sum(-v if k + 1 < len(values) and v < values[k + 1] else v for k, v in enumerate(values))
     else:
         style, digits = "#", n.translate(str.maketrans("olis", "0115"))
-        if not digits.isdigit() or len(digits) > 6:
+        if not digits.isdigit() or len(digits) > 9:
             return None
         number = int(digits)
     rest = line.lower().strip()
@@ -86,53 +91,155 @@ def margin_lines(pages: DataFrame) -> DataFrame:
             take, out = [], []
             for r, text in enumerate(batch.column("text").to_pylist()):
                 lines = [(k, " ".join(x.split())) for k, x in enumerate(LINES.split(text)) if x.strip()]
+                widest = max((len(x) for _, x in lines), default=1)
                 for side, some in (("head", lines[:MARGIN]), ("foot", lines[::-1][:MARGIN])):
                     for rank, (k, line) in enumerate(some):
                         label = page_label(line)
                         take.append(r)
                         key = "" if broken(line.split()[-1]) else line_key(line)  # a line with the beginning of a word is body
-                        out.append((side, rank, k, line, key, label and label[0], label and label[1]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
+                        inner = lines[rank + 1 : rank + 2] if side == "head" else lines[::-1][rank + 1 : rank + 2]
+                        gap = not inner or abs(inner[0][0] - k) > 1
+                        out.append((side, rank, k, line, key, label and label[0], label and label[1], gap, 4 * len(line) // widest))
+            columns = list(zip(*out, strict=True)) if out else [()] * 9
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32()]
             rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(rows), batch.column("page").take(rows), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc", "page", "side", "rank", "line", "item", "key", "number", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(rows), batch.column("page").take(rows), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc", "page", "side", "rank", "line", "item", "key", "number", "pattern", "gap", "width"])
 
-    return pages.select("doc", "page", "text").mapInArrow(run, "doc string, page int, side string, rank int, line int, item string, key string, number int, pattern string")
+    return pages.select("doc", "page", "text").mapInArrow(run, "doc string, page int, side string, rank int, line int, item string, key string, number int, pattern string, gap boolean, width int")
 
 
-def furniture(margins: DataFrame) -> DataFrame:
-    """Margin lines that are running lines or page numbers: doc, page, line, item, kind.
+class Perceptron:
+    """Averaged perceptron over named features with several answers."""
+
+    def __init__(self) -> None:
+        self.weights: dict[str, dict[str, float]] = {}
+
+    def scores(self, features: list[str], answers: Iterable[str]) -> dict[str, float]:
+        found = dict.fromkeys(answers, 0.0)
+        for f in features:
+            for answer, w in self.weights.get(f, {}).items():
+                if answer in found:
+                    found[answer] += w
+        return found
 
-    A page number is a line of a pattern whose number runs with the page's
-    over two pages and a fifth of the document's at least; or a line of a
-    decorated pattern known from three other documents, outermost on its
-    page. A running line has
-    the same key on two pages and a fifth (a single word, or a line that ends
-    like a sentence, on half) of them, or is known as one from two other
-    documents. Nothing further in
-    than a line of the body counts.
+    def best(self, features: list[str], answers: Iterable[str]) -> str:
+        return max(self.scores(features, answers).items(), key=lambda x: (x[1], x[0]))[0]
+
+    def fit(self, examples: list[tuple[list[str], str, Iterable[str]]], group: list[int] | None = None, seed: int = 5) -> None:
+        """Examples are features, the right answer, and the answers to choose from; those of one ``group`` stay together."""
+        total: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        stamp: dict[tuple[str, str], int] = defaultdict(int)
+        weights: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
+        self.weights = weights
+        starts = np.flatnonzero(np.diff(group, prepend=-1)) if group else np.arange(len(examples))
+        ends = np.append(starts[1:], len(examples))
+        step, random = 0, np.random.default_rng(seed)
+        for _ in range(EPOCHS):
+            for at in random.permutation(len(starts)):
+                for features, gold, answers in examples[starts[at] : ends[at]]:
+                    step += 1
+                    if (guess := self.best(features, answers)) != gold:
+                        for f in features:
+                            for answer, by in ((gold, 1.0), (guess, -1.0)):
+                                total[f][answer] += (step - stamp[f, answer]) * weights[f][answer]
+                                stamp[f, answer] = step
+                                weights[f][answer] += by
+        for f, mine in weights.items():
+            for answer, w in mine.items():
+                total[f][answer] += (step - stamp[f, answer]) * w
+        self.weights = {f: {answer: w / max(step, 1) for answer, w in mine.items()} for f, mine in total.items()}
+
+
+LINE_KINDS = ("body", "header", "pageno")
+
+
+def line_signals(margins: DataFrame) -> DataFrame:
+    """Margin lines with the counts their features come from.
+
+    pages: of the document; even: pages on which a line of this pattern has a
+    number as far from the page's; styles: documents in which the pattern runs
+    so; seen: pages with this line at this side; docs: other documents that
+    repeat it.
     """
     total = margins.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
     labels = margins.where("number is not null").withColumn("offset", F.col("number") - F.col("page"))
-    steady = labels.groupBy("doc", "pattern", "offset").agg(F.countDistinct("page").alias("seen")).join(total, "doc").where((F.col("seen") >= 2) & (F.col("seen") * 5 >= F.col("pages")))
-    usual = steady.where(~F.col("pattern").isin("#", "r")).groupBy("pattern").agg(F.countDistinct("doc").alias("docs")).where("docs >= 3").select("pattern", F.lit(True).alias("usual"))
-    runs = margins.where("key <> ''").groupBy("doc", "side", "key").agg(F.countDistinct("page").alias("seen"), F.max(F.col("item").rlike("[.,;]$")).alias("stopped")).join(total, "doc")
-    words = F.when(F.col("stopped"), 1).otherwise(F.size(F.split("key", " ")))
-    share = F.when(words > 1, 5).otherwise(2)
-    strong = runs.where((F.col("seen") >= 2) & (F.col("seen") * share >= F.col("pages")))
-    known = strong.where(words > 1).groupBy("side", "key").agg(F.countDistinct("doc").alias("docs")).where("docs >= 2").select("side", "key", F.lit(True).alias("known"))
-    marked = (
+    even = labels.groupBy("doc", "pattern", "offset").agg(F.countDistinct("page").alias("even"))
+    runs = margins.where("key <> ''").groupBy("doc", "side", "key").agg(F.countDistinct("page").alias("seen"), F.max(F.col("item").rlike("[.,;]$")).alias("stopped"))
+    often = lambda c, share: (F.col(c) >= 2) & (F.col(c) * share >= F.col("pages"))
+    styles = even.join(total, "doc").where(often("even", 5) & ~F.col("pattern").isin("#", "r")).groupBy("pattern").agg(F.countDistinct("doc").alias("styles"))
+    words = F.size(F.split("key", " "))
+    docs = runs.join(total, "doc").where(often("seen", 5) & (words > 1) & (~F.col("stopped") | often("seen", 2))).groupBy("side", "key").agg(F.countDistinct("doc").alias("docs"))
+    joined = (
         margins.withColumn("offset", F.col("number") - F.col("page"))
-        .join(steady.select("doc", "pattern", "offset", F.lit(True).alias("steady")), ["doc", "pattern", "offset"], "left")
-        .join(usual, "pattern", "left")
-        .join(strong.select("doc", "side", "key", F.lit(True).alias("strong")), ["doc", "side", "key"], "left")
-        .join(known, ["side", "key"], "left")
-        .withColumn("known", F.col("known") & ~F.col("item").rlike("[.,;]$"))
-        .withColumn("kind", F.when(F.col("steady") | (F.col("usual") & (F.col("number") > 0)), "pageno").when(F.col("strong") | F.col("known"), "header"))
+        .join(total, "doc")
+        .join(even, ["doc", "pattern", "offset"], "left")
+        .join(styles, "pattern", "left")
+        .join(runs, ["doc", "side", "key"], "left")
+        .join(docs, ["side", "key"], "left")
+        .withColumn("words", F.when(F.col("key") == "", 0).otherwise(words))
+        .withColumn("ends", F.col("item").rlike("[.,;]$"))
     )
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("even", "styles", "seen", "docs")}
+    return joined.withColumns(counts | {"stopped": F.coalesce("stopped", F.lit(False))}).select("doc", "page", "side", "rank", "line", "item", "gap", "width", "number", "pages", "words", "ends", "stopped", *counts)
+
+
+def likely_kind() -> Column:
+    """The labelling rule for the sample of lines the perceptron is fitted on.
+
+    A page number runs with the page's over two pages and a fifth of the
+    document's at least, or has a decorated pattern known from three
+    documents. A running line recurs on two pages and a fifth (a single word,
+    or one that ends like a sentence, on half) of them, or in two documents.
+    """
+    often = lambda c, share: (F.col(c) >= 2) & (F.col(c) * share >= F.col("pages"))
+    number = (F.col("even") > 0) & often("even", 5) | (F.col("styles") >= 3) & (F.col("number") > 0)
+    single = F.col("stopped") | (F.col("words") <= 1)
+    running = (F.col("words") > 0) & (often("seen", 2) | ~single & often("seen", 5) | (F.col("docs") >= 2) & ~F.col("ends"))
+    return F.when(number, "pageno").when(running, "header").otherwise("body")
+
+
+def line_features(r: dict) -> tuple:
+    """What the perceptron sees of a line: position, and recurrence in steps."""
+    steps = lambda n: 0 if n < 1 else 1 if n < 2 else 2 if n < 3 else 3
+    share = lambda n: 0 if n < 2 else 1 if n * 5 < r["pages"] else 2 if n * 2 < r["pages"] else 3
+    single = r["words"] <= 1
+    number = r["number"] is not None
+    return (
+        f"side {r['side']} {r['rank']}", f"rank {r['rank']}", f"gap {r['gap']}", f"width {r['width']}", f"words {min(r['words'], 4)}",
+        f"ends {r['ends']}", f"seen {share(r['seen'])} {single} {r['stopped']}", f"docs {min(r['docs'], 2)} {r['ends']} {r['words'] > 0}",
+        f"even {share(r['even'])} {number}", f"styles {steps(r['styles'])} {number and r['number'] > 0}", f"number {number} {single}",
+    )
+
+
+def furniture(margins: DataFrame) -> DataFrame:
+    """Margin lines that are running lines or page numbers: doc, page, line, item, kind.
+
+    The perceptron is fitted on at most TRAINING_LINES lines, chosen by hash,
+    and decides for all. Nothing further in than a line of the body counts.
+    """
+    lines = materialize(line_signals(margins))
+    columns = [c for c in lines.columns if c not in ("doc", "page", "line", "item")]
+    chosen = lines.select(*columns, likely_kind().alias("kind"), F.xxhash64("doc", "page", "line", "side").alias("h"))
+    sample = [r.asDict() for r in chosen.orderBy("h").limit(TRAINING_LINES).collect()]  # a bounded sample
+    model = Perceptron()
+    model.fit([(list(line_features(r)), r["kind"], LINE_KINDS) for r in sample])
+    shared = lines.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, str] = {}
+        for batch in batches:
+            kinds = []
+            for r in batch.select(columns).to_pylist():
+                f = line_features(r)
+                if (kind := known.get(f)) is None:
+                    kind = known[f] = shared.value.best(list(f), LINE_KINDS)
+                kinds.append(kind if kind != "body" else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "page", "side", "rank", "line", "item")), pa.array(kinds, pa.string())], ["doc", "page", "side", "rank", "line", "item", "kind"])
+
+    marked = lines.mapInArrow(run, "doc string, page int, side string, rank int, line int, item string, kind string")
     outward = Window.partitionBy("doc", "page", "side").orderBy("rank")
     reached = marked.withColumn("ok", F.min(F.col("kind").isNotNull()).over(outward)).where("ok")
-    return reached.groupBy("doc", "page", "line").agg(F.first("item").alias("item"), F.min("kind").alias("kind"))
+    return reached.groupBy("doc", "page", "line").agg(F.min("item").alias("item"), F.min("kind").alias("kind"))
 
 
 def core(token: str) -> str:
@@ -196,13 +303,14 @@ def join_forms(left: str, right: str) -> tuple[str, str]:
     return core(a + b), core(a + "-" + b)
 
 
-def divided_word() -> Column:
-    """A break's parts (columns left and right) in lower case with a line end between them."""
-    return F.concat(F.lower(F.expr(f"rtrim('{HYPHENS}', left)")), F.lit("\n"), F.regexp_extract(F.lower("right"), r"^\W*([\w-]*)", 1))
+def divided_word(plain: Column, hyphened: Column) -> Column:
+    """A break's parts (columns left and right) in lower case with a line end between them, and which spelling the corpus has more often (p, h or =)."""
+    parts = F.concat(F.lower(F.expr(f"rtrim('{HYPHENS}', left)")), F.lit("\n"), F.regexp_extract(F.lower("right"), r"^\W*([\w-]*)", 1))
+    return F.concat(parts, F.when(plain > hyphened, "\tp").when(plain < hyphened, "\th").otherwise("\t="))
 
 
-class Editor:
-    """Averaged perceptron over the characters of a word.
+class Editor(Perceptron):
+    """The perceptron over the characters of a word.
 
     Operations: keep, delete, or replace the character by one or two others
     (two: a replacement and an insertion); for a line end inside a divided
@@ -211,7 +319,7 @@ class Editor:
     """
 
     def __init__(self) -> None:
-        self.weights: dict[str, dict[str, float]] = {}
+        super().__init__()
         self.allowed: dict[str, list[str]] = {}
 
     @staticmethod
@@ -219,51 +327,42 @@ class Editor:
         w = f"^^{word}$$"
         c = k + 2
         if word[k] == "\n":  # the end of a line inside a divided word
-            left, right = word[:k], word[k + 1 :]
-            return ["0", f"1{left}", f"2{right}", f"3{left[-2:]}", f"4{right[:2]}", f"5{len(left)}", f"6{len(right)}", f"7{left[-1:]}{right[:1]}"]
-        return [f"0{w[c]}", f"1{w[c - 1 : c + 1]}", f"2{w[c : c + 2]}", f"3{w[c - 1 : c + 2]}", f"4{w[c - 2 : c + 1]}", f"5{w[c : c + 3]}", f"6{w[c]}{len(word) // 4}", f"7{any(x.isdigit() for x in word)}"]
-
-    def scores(self, word: str, k: int) -> dict[str, float]:
-        found = dict.fromkeys(self.allowed.get(word[k], ("keep",)), 0.0)
-        for f in self.features(word, k):
-            for op, w in self.weights.get(f, {}).items():
-                if op in found:
-                    found[op] += w
-        return found
+            left, (right, evidence) = word[:k], word[k + 1 :].split("\t")
+            return ["0", f"1{left}", f"2{right}", f"3{left[-2:]}", f"4{right[:2]}", f"5{len(left)}", f"6{len(right)}", f"7{left[-1:]}{right[:1]}", *[f"8{evidence}"] * 3]
+        return [f"0{w[c]}", f"1{w[c - 1 : c + 1]}", f"2{w[c : c + 2]}", f"3{w[c - 1 : c + 2]}", f"4{w[c - 2 : c + 1]}", f"5{w[c : c + 3]}", f"6{w[c]}{len(word) // 4}", f"7{any(x.isdigit() for x in word)}", f"9{w[c]}{w[c - 1].isdigit()}{w[c + 1].isdigit()}"]
 
-    def fit(self, pairs: list[tuple[str, list[str]]], seed: int = 5) -> None:
+    def at(self, word: str, k: int) -> dict[str, float]:
+        """Scores of the operations on one character."""
+        return self.scores(self.features(word, k), self.allowed.get(word[k], ("keep",)))
+
+    def learn(self, pairs: list[tuple[str, list[str]]]) -> None:
         seen: dict[str, set[str]] = defaultdict(lambda: {"keep"})
         for word, ops in pairs:
             for ch, op in zip(word, ops, strict=True):
                 seen[ch].add(op)
         self.allowed = {ch: sorted(ops) for ch, ops in seen.items()}
-        total: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        stamp: dict[tuple[str, str], int] = defaultdict(int)
-        weights: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-        step, random = 0, np.random.default_rng(seed)
-        for _ in range(EPOCHS):
-            for at in random.permutation(len(pairs)):
-                word, ops = pairs[at]
-                for k, gold in enumerate(ops):
-                    step += 1
-                    self.weights = weights
-                    best = max(self.scores(word, k).items(), key=lambda x: (x[1], x[0]))[0]
-                    if best != gold:
-                        for f in self.features(word, k):
-                            for op, by in ((gold, 1.0), (best, -1.0)):
-                                total[f][op] += (step - stamp[f, op]) * weights[f][op]
-                                stamp[f, op] = step
-                                weights[f][op] += by
-        for f, ops_ in weights.items():
-            for op, w in ops_.items():
-                total[f][op] += (step - stamp[f, op]) * w
-        self.weights = {f: {op: w / max(step, 1) for op, w in ops_.items()} for f, ops_ in total.items()}
-
-    def proposals(self, word: str, most: int = 160) -> list[tuple[str, float]]:
-        """Words by one edit or two, with the score they gain over keeping all."""
+        examples, group = [], []
+        for g, (word, ops) in enumerate(pairs):
+            for k, gold in enumerate(ops):
+                if len(self.allowed[word[k]]) > 1:  # nothing to choose elsewhere
+                    examples.append((self.features(word, k), gold, self.allowed[word[k]]))
+                    group.append(g)
+        self.fit(examples, group)
+
+    def number(self, word: str) -> str | None:
+        """``word`` with the letters among its digits edited, if that makes a number of it."""
+        out = []
+        for k, ch in enumerate(word):
+            op = self.best(self.features(word, k), [o for o in self.allowed.get(ch, ("keep",)) if o == "keep" or o[0].isdigit() and o[1:] == ">1"]) if ch.isalpha() else "keep"
+            out.append(ch if op == "keep" else op[0])
+        plain = "".join(out)
+        return plain if plain != word and NUMBER.fullmatch(plain) else None
+
+    def proposals(self, word: str, pairs: int = 12) -> list[tuple[str, float]]:
+        """Words by any one edit, or by two of the ``pairs`` best, with the score they gain over keeping all."""
         singles = []
         for k in range(len(word)):
-            found = self.scores(word, k)
+            found = self.at(word, k)
             keep = found.get("keep", 0.0)
             for op, s in found.items():
                 if op == "delete" or op == "keep":
@@ -272,15 +371,15 @@ class Editor:
                 if int(width) == 2:
                     if k + 1 == len(word) or "delete" not in self.allowed.get(word[k + 1], ()):
                         continue
-                    nxt = self.scores(word, k + 1)
+                    nxt = self.at(word, k + 1)
                     s = s + nxt["delete"] - nxt.get("keep", 0.0)
                 singles.append((s - keep, k, k + int(width), a))
         singles.sort(key=lambda x: -x[0])
         out: dict[str, float] = {}
-        for s, a, b, to in singles[:most]:
+        for s, a, b, to in singles:
             out.setdefault(word[:a] + to + word[b:], s)
-        for x, (s, a, b, to) in enumerate(singles[:12]):
-            for s2, a2, b2, to2 in singles[x + 1 : 12]:
+        for x, (s, a, b, to) in enumerate(singles[:pairs]):
+            for s2, a2, b2, to2 in singles[x + 1 : pairs]:
                 if b <= a2:
                     out.setdefault(word[:a] + to + word[b:a2] + to2 + word[b2:], s + s2 - 1)
                 elif b2 <= a:
@@ -323,8 +422,16 @@ def weak_pairs(counts: dict[str, int]) -> list[tuple[str, str, int, int, str]]:
     return [p for ps in found.values() for p in ps if support[p[0][p[2] : p[3]], p[4]] >= LEAST_SUPPORT]
 
 
-def train(counts: dict[str, int], divided: Iterable[tuple[str, str]] = ()) -> Editor:
-    """An editor from the weak pairs of a bounded sample of words, as many clean words, and divided words ("left\\nright", join or keep)."""
+NUMBER = re.compile(r"[0-9]+(?:[.:/,-][0-9]+)*%?")
+
+
+def train(counts: dict[str, int], divided: Iterable[tuple[str, str]] = (), numbers: Iterable[str] = ()) -> Editor:
+    """An editor from the weak pairs of a bounded sample of words, as many clean words, numbers, and divided words (see divided_word; join or keep).
+
+    A digit that is read for a letter is read as one, too: numbers are learned
+    from copies with one digit replaced. Divided words are learned with and
+    without the evidence of the corpus.
+    """
     pairs = weak_pairs(counts)
     noisy = {p[0] for p in pairs}
     examples = []
@@ -335,58 +442,58 @@ def train(counts: dict[str, int], divided: Iterable[tuple[str, str]] = ()) -> Ed
             ops[a + 1] = "delete"
         examples.append((w, ops))
     for w, op in divided:
-        ops = ["keep"] * len(w)
-        ops[w.index("\n")] = op
-        examples.append((w, ops))
-    clean = [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if w not in noisy and len(w) > 2][: max(500, len(pairs))]
+        for seen in (w, w[:-1] + "="):
+            ops = ["keep"] * len(seen)
+            ops[seen.index("\n")] = op
+            examples.append((seen, ops))
+    letters = sorted({(w[a], to) for w, _, a, b, to in pairs if b - a == 1 and w[a].isdigit() and len(to) == 1 and to.isalpha()})
+    for k, n in enumerate(sorted(set(numbers))):
+        examples.append((n, ["keep"] * len(n)))
+        copies = [[pair] for pair in letters] + [letters[x:] + letters[:x] for x in (k % max(len(letters), 1),)]  # one letter, or one for each digit
+        for some in copies if len(n) > 1 else ():
+            chars, ops = list(n), ["keep"] * len(n)
+            for x, (digit, letter) in enumerate(some):
+                places = [i for i, c in enumerate(n) if c == digit and chars[i] == digit]
+                if places and sum(c.isdigit() for c in chars) * 2 > len(n):
+                    i = places[(k + x) % len(places)]
+                    chars[i], ops[i] = letter, f"{digit}>1"
+            if chars != list(n):
+                examples.append(("".join(chars), ops))
+    mostly_digits = lambda w: sum(c.isdigit() for c in w) * 2 >= len(w)
+    clean = [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if w not in noisy and len(w) > 2 and not mostly_digits(w)][: max(500, len(pairs))]
     editor = Editor()
-    editor.fit(examples + [(w, ["keep"] * len(w)) for w in clean])
+    editor.learn(examples + [(w, ["keep"] * len(w)) for w in clean])
     return editor
 
 
-def digit_map(editor: Editor) -> dict[str, str]:
-    """Letters that stand for a digit, from the learned replacements of digits by letters."""
-    out: dict[str, str] = {}
-    for ch, ops in editor.allowed.items():
-        if ch.isdigit():
-            for op in ops:
-                to = op.partition(">")[0]
-                if len(to) == 1 and to.isalpha():
-                    out.setdefault(to, ch)
-    return out
-
-
 def corrections(forms: DataFrame, editor: Editor) -> DataFrame:
     """(form, count) with the correction it gets, if any: form, count, fixed, fixed_count.
 
     A proposal counts when the corpus has it MARGIN_RATIO times as often as
-    the form (three times a form seen once). A number with letters among its
-    digits becomes all digits.
+    the form (three times a form seen once). A form at least half of digits
+    that the editor turns into a number becomes that number.
     """
-    spark = forms.sparkSession
-    model = spark.sparkContext.broadcast((editor, digit_map(editor)))  # weights of at most TRAINING_WORDS words
+    model = forms.sparkSession.sparkContext.broadcast(editor)  # weights of at most TRAINING_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edit, digits = model.value
+        edit = model.value
         for batch in batches:
-            take, to, score = [], [], []
+            take, to, score, sure = [], [], [], []
             for r, w in enumerate(batch.column("form").to_pylist()):
-                plain = "".join(digits.get(c, c) for c in w)
-                if plain != w and w[0] in "0123456789" + "".join(digits) and sum(c.isdigit() for c in w) * 2 >= len(w) and re.fullmatch(r"[0-9]+(?:[.:/,-][0-9]+)*%?", plain):
-                    found = [(plain, 1e6)]
-                else:
-                    found = edit.proposals(w) if any(c.isalpha() for c in w) and len(w) < 64 else []
+                mixed = any(c.isalpha() for c in w)
+                number = edit.number(w) if mixed and sum(c.isdigit() for c in w) * 2 >= len(w) else None
+                found = [(number, 0.0)] if number else edit.proposals(w) if mixed else []
                 take += [r] * len(found)
                 to += [f[0] for f in found]
                 score += [f[1] for f in found]
+                sure += [number is not None] * len(found)
             rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("form").take(rows), batch.column("count").take(rows), pa.array(to, pa.string()), pa.array(score, pa.float64())], ["form", "count", "to", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("form").take(rows), batch.column("count").take(rows), pa.array(to, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())], ["form", "count", "to", "score", "number"])
 
-    proposed = forms.select("form", "count").mapInArrow(run, "form string, count long, to string, score double")
+    proposed = forms.select("form", "count").mapInArrow(run, "form string, count long, to string, score double, number boolean")
     known = forms.where("count > 0").select(F.col("form").alias("to"), F.col("count").alias("to_count"))
-    sure = F.col("score") >= 1e6
     likely = proposed.join(known, "to", "left").withColumn("to_count", F.coalesce("to_count", F.lit(0)))
-    likely = likely.where(sure | (F.col("to_count") >= F.when(F.col("count") <= 1, 3).otherwise(F.col("count") * MARGIN_RATIO)))
+    likely = likely.where(F.col("number") | (F.col("to_count") >= F.when(F.col("count") <= 1, 3).otherwise(F.col("count") * MARGIN_RATIO)))
     best = likely.groupBy("form").agg(F.max_by(F.struct("to", "to_count"), F.struct(F.col("score") + F.log(F.col("to_count") + 1.0), F.col("to"))).alias("b"))
     return forms.join(best, "form", "left").select("form", "count", F.col("b.to").alias("fixed"), F.col("b.to_count").alias("fixed_count"))
 
@@ -471,16 +578,19 @@ class Repair:
         both = self.breaks.select(F.explode(F.array("plain", "hyphened")).alias("form"), F.lit(0).cast("long").alias("count"))
         every = materialize(counts.unionByName(both).groupBy("form").agg(F.sum("count").alias("count")))
         sample = {r["form"]: r["count"] for r in self._sample(every).collect()}  # at most TRAINING_WORDS rows
-        self.editor = train(sample, [(r["divided"], r["op"]) for r in self._labelled(every).collect()])  # half as many at most
+        numbers = every.where((F.col("count") > 0) & F.col("form").rlike(f"^(?:{NUMBER.pattern})$")).orderBy(F.xxhash64("form"), "form").limit(TRAINING_NUMBERS)
+        labelled = [(r["divided"], r["op"]) for r in self._labelled(every).collect()]  # half as many at most
+        self.editor = train(sample, labelled, [r["form"] for r in numbers.collect()])
         self.forms = materialize(corrections(every, self.editor))
 
     def _labelled(self, forms: DataFrame) -> DataFrame:
         """A hash sample of divided words of which the corpus knows one spelling only."""
         count = lambda c: forms.select(F.col("form").alias(c), F.col("count").alias(f"{c}_count"))
-        known = self.breaks.select(divided_word().alias("divided"), "plain", "hyphened").distinct().join(count("plain"), "plain").join(count("hyphened"), "hyphened")
-        one = known.where((F.least("plain_count", "hyphened_count") == 0) & (F.greatest("plain_count", "hyphened_count") > 0) & F.col("divided").contains("\n"))
+        known = self.breaks.select("left", "right", "plain", "hyphened").distinct().join(count("plain"), "plain").join(count("hyphened"), "hyphened")
+        known = known.withColumn("divided", divided_word(F.col("plain_count"), F.col("hyphened_count")))
+        one = known.where((F.least("plain_count", "hyphened_count") == 0) & (F.greatest("plain_count", "hyphened_count") > 0))
         op = F.when(F.col("hyphened_count") > 0, "keep").otherwise("join")
-        return one.select("divided", op.alias("op")).orderBy(F.xxhash64("divided"), "divided").limit(TRAINING_WORDS // 2)
+        return one.select("divided", op.alias("op")).distinct().orderBy(F.xxhash64("divided"), "divided").limit(TRAINING_WORDS // 2)
 
     @staticmethod
     def _sample(forms: DataFrame) -> DataFrame:
@@ -494,21 +604,21 @@ class Repair:
     def joined(self) -> DataFrame:
         """Every break with the word it should read: doc, page, left, right, item.
 
-        The spelling that the corpus has more often counts; where it has both
-        or none alike, the perceptron decides about the hyphen.
+        The perceptron decides about the hyphen, with what the corpus has of
+        either spelling among its features.
         """
         model = self.pages.sparkSession.sparkContext.broadcast(self.editor)
 
         @F.pandas_udf("boolean")
         def keeps(words: pd.Series) -> pd.Series:
-            found = (model.value.scores(w, w.index("\n")) for w in words)
+            found = (model.value.at(w, w.index("\n")) for w in words)
             return pd.Series([f.get("keep", 0.0) > f.get("join", 0.0) for f in found])
 
         side = lambda c, a: self.forms.select(F.col("form").alias(c), F.coalesce("fixed", "form").alias(f"{a}_word"), F.coalesce("fixed_count", "count").alias(f"{a}_count"))
-        both = self.breaks.withColumn("divided", divided_word()).join(side("plain", "p"), "plain", "left").join(side("hyphened", "h"), "hyphened", "left")
-        hyphen = F.when(F.col("h_count") != F.col("p_count"), F.col("h_count") > F.col("p_count")).otherwise(F.col("kept"))
-        undecided = both.where("h_count = p_count").select("divided").distinct().withColumn("kept", keeps("divided"))
-        return both.join(undecided, "divided", "left").select("doc", "page", "left", "right", F.when(hyphen, F.col("h_word")).otherwise(F.col("p_word")).alias("item"))
+        kinds = self.breaks.select("left", "right", "plain", "hyphened").distinct().join(side("plain", "p"), "plain", "left").join(side("hyphened", "h"), "hyphened", "left")
+        decided = kinds.withColumn("hyphen", keeps(divided_word(F.coalesce("p_count", F.lit(0)), F.coalesce("h_count", F.lit(0)))))
+        items = decided.select("left", "right", F.when(F.col("hyphen"), F.col("h_word")).otherwise(F.col("p_word")).alias("item"))
+        return self.breaks.join(items, ["left", "right"]).select("doc", "page", "left", "right", "item")
 
     def misread(self) -> DataFrame:
         """Misread body words: doc, page, form, item."""

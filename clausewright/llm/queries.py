@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -99,11 +99,14 @@ def p6_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as continuous paragraphs."""
-    part = F.concat("text", F.when(F.col("text") == "", "").when(F.col("continues"), " ").otherwise("\n\n"))
-    pages = p6_pages(spark, d).withColumn("part", part)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "part"))), lambda p: p["part"]), "")
-    return pages.groupBy("document_id").agg(F.rtrim(joined).alias("text"))
+    """Every document as continuous paragraphs, one row each, numbered from 1; one that goes on over pages is whole."""
+    pages = p6_pages(spark, d).where("text <> ''")
+    order = Window.partitionBy("document_id").orderBy("page_number")
+    joined = F.coalesce(F.lag("continues").over(order), F.lit(False)).cast("int")
+    numbered = pages.withColumns({"parts": F.split("text", "\n\n"), "joined": joined}).withColumn("before", F.coalesce(F.sum(F.size("parts") - F.col("joined")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = numbered.select("document_id", "page_number", "before", "joined", F.posexplode("parts").alias("pos", "part")).withColumn("paragraph", F.col("before") + F.col("pos") + 1 - F.col("joined"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "part"))), lambda p: p["part"]), " ")  # the pages of one paragraph
+    return parts.groupBy("document_id", "paragraph").agg(F.min("page_number").alias("first_page"), whole.alias("text"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

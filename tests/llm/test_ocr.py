@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from clausewright.llm import ocr
 
@@ -62,9 +63,6 @@ def test_repair(spark):
     got = {tuple(x) for x in r.found().collect()}
     for kind in ("break", "header", "pageno"):
         assert {g for g in got if g[2] == kind} == {t for t in truth if t[2] == kind}, kind
-    wanted, found = {t for t in truth if t[2] == "misread"}, {g for g in got if g[2] == "misread"}
-    rare = {t for t in wanted if t[3] in {f[3] for f in found}}
-    assert len(wanted & found) >= 0.6 * len(rare) and len(found - wanted) <= 0.25 * len(found)
     texts = {(x.doc, x.page): x for x in r.texts().collect()}
     one = texts["doc02", 1]
     assert "drip-proof kind of moisture trap." in one.text and "Council" not in one.text and "- 1 -" not in one.text
@@ -72,6 +70,71 @@ def test_repair(spark):
     assert texts["doc00", 9].text == "" and not texts["doc00", 9].continues
 
 
+def scanned(documents=40, pages=5):
+    """Pages of made-up words with planted cases of every kind."""
+    pick = random.Random(9)
+    syllables = [a + b for a in "bcdfghlmnprstv" for b in "aeiou"]
+    vocabulary = sorted({"".join(pick.choice(syllables) for _ in range(pick.choice([3, 3, 4]))) + pick.choice(["", "n", "s", "t"]) for _ in range(400)})
+    compounds = [f"{a}-{b}" for a, b in zip(vocabulary[::20], vocabulary[7::20], strict=False)]
+    rows, truth = [], set()
+    for d in range(documents):
+        doc, head = f"d{d:02d}", " ".join(w.capitalize() for w in pick.sample(vocabulary, 3))
+        number = pick.choice(["{}", "- {} -", "Page {}", "{} of 99", None])
+        for page in range(1, pages + 1):
+            lines = [head if page % 2 else f"{head} {page}", ""]
+            truth.add((doc, page, "header", lines[0]))
+            for _ in range(22):
+                words = []
+                for _ in range(9):
+                    w = pick.choice(vocabulary + compounds * 2)
+                    if pick.random() < 0.03:
+                        n = str(pick.randint(100, 99999))
+                        noisy = n.replace("0", "o", 1).replace("1", "l", 1)
+                        if noisy != n and pick.random() < 0.4 and sum(c.isdigit() for c in noisy) * 2 >= len(noisy):
+                            truth.add((doc, page, "misread", n))
+                            n = noisy
+                        words.append(n)
+                    elif pick.random() < 0.02 and "-" not in w:
+                        a, b = pick.choice([("e", "c"), ("t", "f"), ("n", "ri"), ("d", "cl"), ("h", "b"), ("o", "0"), ("l", "1")])
+                        if a in w[1:-1]:
+                            truth.add((doc, page, "misread", w))
+                            w = w[0] + w[1:-1].replace(a, b, 1) + w[-1]
+                        words.append(w)
+                    else:
+                        words.append(w)
+                if len(lines) > 2 and lines[-1][-1:] == "-" and lines[-1][-2:-1].isalpha():
+                    words.insert(0, rest)
+                if pick.random() < 0.25 and len(lines) < 22:
+                    w = pick.choice(vocabulary + compounds * 3)
+                    at = w.index("-") if "-" in w else pick.randint(2, len(w) - 2)
+                    words.append(w[:at] + "-")
+                    rest = w[at:].lstrip("-")
+                    truth.add((doc, page, "break", w))
+                lines.append(" ".join(words))
+            if number:
+                lines += ["", number.format(page)]
+                truth.add((doc, page, "pageno", number.format(page)))
+            rows.append((doc, page, "\n".join(lines), T0, "x"))
+    return rows, truth
+
+
+def test_recall_and_precision_of_every_kind(spark):
+    rows, truth = scanned()
+    got = {tuple(x) for x in repair(spark, rows).found().collect()}
+    for kind in ("break", "header", "pageno", "misread"):
+        want, found = ({t for t in x if t[2] == kind} for x in (truth, got))
+        recall, precision = len(want & found) / len(want), len(want & found) / len(found)
+        print(kind, len(want), round(recall, 3), round(precision, 3))
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision, sorted(found - want)[:5], sorted(want - found)[:5])
+
+
+def test_editor_makes_numbers_whole():
+    words = {f"{a}o{b}e": 300 for a in ("carb", "fl", "sm", "gl", "pr", "st") for b in ("nd", "rt", "st")}
+    noisy = {w.replace("o", "0"): 1 for w in words}
+    editor = ocr.train(words | noisy, [], [str(n) for n in range(100, 999, 7)])
+    assert editor.number("5o7") == "507" and editor.number("12.o5") == "12.05" and editor.number("507") is None and editor.number("o.x") is None
+
+
 def test_empty(spark):
     r = repair(spark, [])
     assert r.found().count() == 0 and r.texts().count() == 0
