@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 OPEN_LICENCE = "full_text_ok"
 SNIPPET = 420
 
@@ -138,3 +140,16 @@ def merge_branches(branches: Mapping[str, DataFrame], key: str, score: str) -> D
     tagged = [df.select(key, F.col(score).alias("s"), F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")).alias("tag")) for k, (name, df) in enumerate(branches.items())]
     merged = reduce(DataFrame.unionByName, tagged).groupBy(key).agg(F.max("s").alias(score), F.sort_array(F.collect_set("tag")).alias("tags"))
     return merged.select(key, score, F.array_join(F.transform("tags", lambda t: t["name"]), "+").alias("branches"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 1, in one order over all rows.
+
+    Rows are divided by ranges of the order, numbered in their range, and
+    moved by the counts of the ranges before; only those counts meet.
+    """
+    cut = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return cut.withColumn(name, place).join(F.broadcast(offsets), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_before")

@@ -8,14 +8,17 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
 
 K1, B, RRF_K, CANDIDATES = 1.5, 0.75, 60, 20
 HASH_DIMENSION = 1536
 BATCH = 4096
+QUERY_BYTES = 64 << 20
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,28 +27,25 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = CANDIDATES, blocks_from: int = 200) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The ``k`` best texts per query by BM25: query_id, key, score (6 decimals), rank; ties by key.
 
-    ``queries`` has query_id and query. Only terms of the queries are joined
-    to the texts' terms, so frequent words that nobody asks for are never
-    shuffled. A few queries are scored by a join; from ``blocks_from`` on,
-    batches of texts meet blocks of queries and only the ``k`` best rows of
-    each meeting are shuffled.
+    ``queries`` has query_id and query. The texts are cut into tokens once;
+    only tokens that some query asks for are joined and shuffled. Batches of
+    texts meet blocks of queries, one query or many alike, and only the ``k``
+    best rows of each meeting are shuffled.
     """
-    asked = queries.select("query_id", F.explode(T.lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = materialize(queries.select("query_id", F.explode(T.lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     tokens = docs.select(F.col(key).alias("key"), T.lexical_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
-    hits = tokens.select("key", F.size("t").alias("length"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tokens = materialize(tokens.select("key", F.size("t").alias("length"), "t"))
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    hits = tokens.select("key", "length", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("key", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = materialize(hits)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighed = hits.join(df, "term").crossJoin(F.broadcast(totals)).select("key", "term", gain.alias("w"))  # totals is one row
-    n_queries = queries.count()
-    if n_queries < blocks_from:
-        scores = weighed.join(asked, "term").groupBy("query_id", "key").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
-    else:
-        scores = _block_scores(weighed, asked, docs.count(), n_queries, k)
+    scores = _block_scores(weighed, asked, tokens.count(), asked.select("query_id").distinct().count(), k)
     return ranked(scores.where("score > 0"), "query_id", "score", "key", k)
 
 
@@ -96,35 +96,61 @@ def ranked(scores: DataFrame, query: str, score: str, key: str, k: int) -> DataF
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def exact_knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, dimension: int, k: int, block: int = 1024) -> DataFrame:
+def exact_knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, dimension: int, k: int, budget: int = QUERY_BYTES) -> DataFrame:
     """The ``k`` nearest vectors of each query by exact cosine: query_id, key, score (6 decimals), rank.
 
-    ``queries`` (query_id, vector) is a stated set. It is cut into blocks of
-    rows; each task meets every block and keeps the ``k`` best of its own
-    batch, so only k rows per query and batch are shuffled.
+    ``queries`` (query_id, vector) is a stated set, sent to the tasks in
+    blocks of at most ``budget`` bytes. A task scans its vectors where they
+    lie and keeps the ``k`` best of all it has seen, so that k rows per query
+    and task are shuffled and no vector is.
     """
-    ordered = queries.select("query_id", F.col("vector").alias("v")).where(F.size("v") == dimension)
-    packed = ordered.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count()) / block)).alias("b")).agg(F.collect_list(F.struct("query_id", "v")).alias("qs")).select("qs")
-    kind = queries.schema["query_id"].dataType.simpleString()
-    key_kind = vectors.schema[key].dataType.simpleString()
+    spark = vectors.sparkSession
+    asked = materialize(queries.select("query_id", F.col("vector").cast("array<float>").alias("v")).where(F.size("v") == dimension))
+    kind, key_kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
     usable = vectors.where(F.col(vector).isNotNull() & (F.size(vector) == dimension)).select(F.col(key).alias("key"), F.col(vector).alias("v"))
-    batched = usable.groupBy(F.pmod(F.xxhash64("key"), F.lit(64)).alias("s"), F.pmod(F.hash("key"), F.lit(max(1, usable.count() // 65_536))).alias("t")).agg(F.collect_list(F.struct("key", "v")).alias("rows")).select("rows")
+    parts = max(1, -(-asked.count() * dimension * 4 // budget))
+    usable = usable if parts == 1 else materialize(usable)
+    found = None
+    for part in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()  # about ``budget`` bytes
+        one = usable.mapInArrow(_nearest_scan(spark.sparkContext.broadcast(block), dimension, k), f"query_id {kind}, key {key_kind}, score double")
+        found = one if found is None else found.unionByName(one)
+    return ranked(found, "query_id", "score", "key", k)
+
+
+def _nearest_scan(shared: Broadcast, dimension: int, k: int) -> Callable:
+    """A scan that keeps each query's ``k`` best vectors; equal scores by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value.column("query_id").combine_chunks()
+        y = _unit(shared.value.column("v").combine_chunks().flatten(), dimension)
+        who, score, what = np.zeros(0, np.int64), np.zeros(0), None
+        worst = np.full(len(y), -np.inf)
+        kind = None
         for batch in batches:
-            for rows, qs in zip(batch.column("rows"), batch.column("qs"), strict=True):
-                r, q = rows.values, qs.values
-                x = _unit(r.field("v").flatten(), dimension)
-                y = _unit(q.field("v").flatten(), dimension)
-                sims = np.round(y @ x.T, 6)
-                n = min(k, len(x))
-                order_key = np.argsort(np.argsort(np.array(r.field("key").to_pylist())))
-                best = np.lexsort((np.broadcast_to(order_key, sims.shape), -sims), axis=1)[:, :n]
-                at = np.repeat(np.arange(len(y)), n)
-                yield pa.RecordBatch.from_arrays([q.field("query_id").take(pa.array(at)), r.field("key").take(pa.array(best.ravel())), pa.array(sims[at, best.ravel()])], ["query_id", "key", "score"])
-
-    met = batched.crossJoin(packed).mapInArrow(run, f"query_id {kind}, key {key_kind}, score double")
-    return ranked(met, "query_id", "score", "key", k)
+            if not batch.num_rows or not len(y):
+                continue
+            kind = batch.column("key").type
+            keys, x = np.array(batch.column("key").to_pylist()), _unit(batch.column("v").flatten(), dimension)
+            rows, sims, names = [who], [score], [keys[:0] if what is None else what]
+            for a in range(0, len(y), 256):
+                s = np.round(y[a : a + 256] @ x.T, 6)
+                least = np.partition(s, -k, axis=1)[:, -k] if k < len(x) else np.full(len(s), -np.inf)
+                q, at = np.nonzero(s >= np.maximum(least, worst[a : a + 256])[:, None])
+                rows.append(q + a)
+                sims.append(s[q, at])
+                names.append(keys[at])
+            who, score, what = np.concatenate(rows), np.concatenate(sims), np.concatenate(names)
+            order = np.lexsort((what, -score, who))
+            who, score, what = who[order], score[order], what[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            keep = place < k
+            who, score, what, place = who[keep], score[keep], what[keep], place[keep]
+            worst[who[place == k - 1]] = score[place == k - 1]
+        if len(who):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), pa.array(what.tolist(), kind), pa.array(score)], ["query_id", "key", "score"])
+
+    return run
 
 
 def _unit(flat: pa.Array, dimension: int) -> np.ndarray:
@@ -168,8 +194,8 @@ def reciprocal_rank_fusion(lists: dict[str, DataFrame], k: int = RRF_K) -> DataF
     return scored.withColumn("fusion_rank", F.row_number().over(w))
 
 
-def heuristic_rerank(hits: DataFrame, query: str, strategy: str = "relevance") -> DataFrame:
-    """Rerank hits (key, text, title, depth, licence, score): new score and rank.
+def heuristic_rerank(hits: DataFrame, query: str, strategy: str = "relevance", top_k: int = 100) -> DataFrame:
+    """The ``top_k`` best of a query's hits (key, text, title, depth, licence, score) reranked: new score and rank.
 
     relevance adds 0.05 per query term found in the first 500 characters or
     the title and 0.01 for each level above depth 5, capped at 1.5; authority
@@ -186,7 +212,7 @@ def heuristic_rerank(hits: DataFrame, query: str, strategy: str = "relevance") -
     if strategy not in scores:
         raise ValueError(f"unknown strategy: {strategy}")
     w = Window.orderBy(F.col("reranked").desc(), F.col("key").asc())
-    top = hits.withColumn("reranked", F.round(scores[strategy], 6)).orderBy(F.desc("reranked"), "key").limit(100)  # a single query's candidates
+    top = hits.withColumn("reranked", F.round(scores[strategy], 6)).orderBy(F.desc("reranked"), "key").limit(top_k)
     return top.withColumn("rank", F.row_number().over(w))
 
 
@@ -208,7 +234,7 @@ def all_terms(docs: DataFrame, key: str, text: str, query: str, most: int = 8) -
 def resolve_identifier(rows: DataFrame, standards: str, query: str) -> tuple[str, str | None]:
     """(state, standard) for the first standard number in a query: none, unknown, ambiguous or pinned.
 
-    Only distinct standards of the asked number reach the driver: its editions.
+    Two standards reach the driver: the first and the last edition of the asked number.
     """
     import re
 
@@ -217,11 +243,11 @@ def resolve_identifier(rows: DataFrame, standards: str, query: str) -> tuple[str
         return "none", None
     number, year = m[1].lstrip("0") or "0", m[2]
     value = F.explode(standards) if rows.schema[standards].dataType.typeName() == "array" else F.col(standards)
-    known = rows.select(value.alias("s")).where(F.col("s").rlike(rf"^IS\s*0*{number}(:|$)")).distinct().limit(100).collect()
-    editions = sorted(r["s"] for r in known if not year or r["s"].endswith(f":{year}"))
-    if not editions:
+    edition = F.col("s").rlike(rf"^IS\s*0*{number}:{year}$" if year else rf"^IS\s*0*{number}(:|$)")
+    known = rows.select(value.alias("s")).where(edition).agg(F.min("s").alias("first"), F.max("s").alias("last")).first()
+    if known["first"] is None:
         return "unknown", None
-    return ("pinned", editions[0]) if len(editions) == 1 else ("ambiguous", None)
+    return ("pinned", known["first"]) if known["first"] == known["last"] else ("ambiguous", None)
 
 
 def hash_embedding(dimension: int = HASH_DIMENSION) -> Callable:

@@ -238,20 +238,23 @@ def non_empty_or_pinned(s: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT DISTINCT c.chunk_id, n.ordinal FROM chunks c JOIN structure_nodes n ON c.document_id = n.document_id AND c.start_page <= n.end_page AND c.end_page >= n.start_page""")
 def page_overlap_join(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunks").select("chunk_id", "document_id", F.col("start_page").alias("a"), F.col("end_page").alias("b"))
-    n = table(s, d, "structure_nodes").select("document_id", "ordinal", "start_page", "end_page")
-    return c.join(n, "document_id").where("a <= end_page and b >= start_page").select("chunk_id", "ordinal").distinct()
+    span = lambda a, b: F.explode(F.sequence(a, b)).alias("page")
+    c = table(s, d, "chunks").where("end_page >= start_page").select("chunk_id", "document_id", span("start_page", "end_page"))
+    n = table(s, d, "structure_nodes").where("end_page >= start_page").select("document_id", "ordinal", span("start_page", "end_page"))
+    return c.distinct().join(n.distinct(), ["document_id", "page"]).select("chunk_id", "ordinal").distinct()
 
 
-@query("""WITH q AS (SELECT DISTINCT query, regexp_extract(query, 'IS *([0-9]+)', 1) AS n, regexp_extract(query, 'IS *[0-9]+ *: *([0-9]{4})', 1) AS y FROM semantic_results WHERE regexp_matches(query, 'IS *[0-9]+')),
+@query("""WITH a AS (SELECT DISTINCT standard FROM semantic_results WHERE standard IS NOT NULL), w AS (SELECT standard AS asked FROM a UNION SELECT split_part(standard, ':', 1) FROM a),
+q AS (SELECT asked, regexp_extract(asked, 'IS *([0-9]+)', 1) AS n, regexp_extract(asked, 'IS *[0-9]+ *: *([0-9]{4})', 1) AS y FROM w WHERE regexp_matches(asked, 'IS *[0-9]+')),
 t AS (SELECT DISTINCT standard, regexp_extract(standard, '^ *IS *([0-9]+) *: *([0-9]{4}) *$', 1) AS n, regexp_extract(standard, '^ *IS *([0-9]+) *: *([0-9]{4}) *$', 2) AS y FROM (SELECT is_number AS standard FROM documents UNION SELECT unnest(standard_numbers) FROM chunks) WHERE regexp_matches(standard, '^ *IS *[0-9]+ *: *[0-9]{4} *$'))
-SELECT query, standard FROM q JOIN t ON q.n = t.n AND (q.y = '' OR q.y = t.y)""")
+SELECT asked, standard FROM q JOIN t ON q.n = t.n AND (q.y = '' OR q.y = t.y)""")
 def standard_match(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "semantic_results")
-    q = r.select("query").distinct().select("query", F.regexp_extract("query", r"IS *([0-9]+)", 1).alias("n"), F.regexp_extract("query", r"IS *[0-9]+ *: *([0-9]{4})", 1).alias("y")).where("n <> ''")
+    given = table(s, d, "semantic_results").select("standard").where("standard is not null").distinct()
+    asked = given.select(F.explode(F.array("standard", F.split_part("standard", F.lit(":"), F.lit(1)))).alias("asked")).distinct()  # with and without the year
+    q = asked.select("asked", F.regexp_extract("asked", r"IS *([0-9]+)", 1).alias("n"), F.regexp_extract("asked", r"IS *[0-9]+ *: *([0-9]{4})", 1).alias("y")).where("n <> ''")
     known = table(s, d, "documents").select(F.col("is_number").alias("standard")).union(table(s, d, "chunks").select(F.explode("standard_numbers")))
     t = known.distinct().select("standard", F.regexp_extract("standard", T.PATTERNS["standard_strict"], 1).alias("n"), F.regexp_extract("standard", T.PATTERNS["standard_strict"], 2).alias("ty")).where("n <> ''")
-    return q.join(t, "n").where("y = '' or y = ty").select("query", "standard")
+    return q.join(t, "n").where("y = '' or y = ty").select("asked", "standard")
 
 
 @query("""SELECT coalesce(a.query_id, b.query_id) AS query_id, a.query_id IS NULL AS missing_left, b.query_id IS NULL AS missing_right FROM (SELECT DISTINCT query_id FROM semantic_results) a FULL JOIN (SELECT DISTINCT query_id FROM hybrid_results) b ON a.query_id = b.query_id WHERE a.query_id IS NULL OR b.query_id IS NULL""")

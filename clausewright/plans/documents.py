@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalog as C
 from ..operators import documents as D
 from ..operators import evidence as E
+from ..operators import structure as S
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -147,13 +149,13 @@ def ingest_versions(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT standard AS is_number, depth_parts, CAST(row_number() OVER (ORDER BY depth_parts, standard) AS INTEGER) AS place FROM (SELECT DISTINCT clause_number AS standard, len(string_split(clause_number, '.')) AS depth_parts FROM chunks WHERE clause_number IS NOT NULL)""")
 def clause_order(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chunks").where("clause_number is not null").select(F.col("clause_number").alias("is_number")).distinct().withColumn("depth_parts", F.size(F.split("is_number", r"\.")))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("depth_parts", "is_number")))  # the clause numbers of the catalogue
+    return C.numbered(rows, [F.col("depth_parts"), F.col("is_number")], "place")
 
 
 @query("""SELECT number, place FROM (SELECT number, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(number, 'IS (\\d+)', 1) AS BIGINT), number) AS INTEGER) AS place FROM (SELECT DISTINCT unnest(standard_numbers) AS number FROM manifest))""")
 def natural_sort(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "manifest").select(F.explode("standard_numbers").alias("number")).distinct()
-    return rows.select("number", F.row_number().over(Window.orderBy(F.regexp_extract("number", r"IS (\d+)", 1).cast("long"), "number")).alias("place"))  # the standards of the catalogue
+    return C.numbered(rows, [F.regexp_extract("number", r"IS (\d+)", 1).cast("long"), F.col("number")], "place")
 
 
 @query("""SELECT chunk_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY start_page NULLS FIRST, end_page NULLS FIRST, annex_identifier NULLS FIRST, len(string_split(coalesce(clause_number, ''), '.')), clause_number NULLS FIRST, chunk_id) AS INTEGER) AS place FROM (SELECT DISTINCT chunk_id, document_id, start_page, end_page, annex_identifier, clause_number FROM chunks)""")
@@ -230,8 +232,7 @@ def context_prefix(s: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT document_id, ordinal, parent_ordinal FROM structure_nodes), t AS (SELECT document_id, ordinal, 1 AS depth FROM n WHERE parent_ordinal IS NULL UNION ALL SELECT n.document_id, n.ordinal, t.depth + 1 FROM n JOIN t ON n.document_id = t.document_id AND n.parent_ordinal = t.ordinal) SELECT document_id, ordinal, depth FROM t""")
 def clause_tree_depth(s: SparkSession, d: str) -> DataFrame:
-    table(s, d, "structure_nodes").select("document_id", "ordinal", "parent_ordinal").distinct().createOrReplaceTempView("tree_nodes")
-    return s.sql("""WITH RECURSIVE t(document_id, ordinal, depth) AS (SELECT document_id, ordinal, 1 FROM tree_nodes WHERE parent_ordinal IS NULL UNION ALL SELECT n.document_id, n.ordinal, t.depth + 1 FROM tree_nodes n JOIN t ON n.document_id = t.document_id AND n.parent_ordinal = t.ordinal) SELECT document_id, ordinal, depth FROM t""")
+    return S.tree_depth(table(s, d, "structure_nodes"), "document_id", "ordinal", "parent_ordinal")
 
 
 @query(f"""SELECT document_id, max_by(title, (CASE WHEN {_hint_case("coalesce(title, '')")} <> 'unknown' THEN 2 ELSE 1 END, coalesce(discovered_at, TIMESTAMP '0001-01-01'), coalesce(title, ''))) AS title, string_agg(DISTINCT coalesce(source_url, ''), '|' ORDER BY coalesce(source_url, '')) AS sources FROM manifest GROUP BY 1""")
@@ -241,11 +242,13 @@ def candidate_upsert(s: SparkSession, d: str) -> DataFrame:
     return D.upsert_candidates(rows, "document_id", rank, "title", "source_url").select("document_id", F.when(F.col("title") != "", F.col("title")).alias("title"), "sources")
 
 
-@query(f"""SELECT document_id, page_number + 1 AS first_missing, next_page - 1 AS last_missing FROM (SELECT document_id, page_number, lead(page_number) OVER (PARTITION BY document_id ORDER BY page_number) AS next_page FROM (SELECT DISTINCT document_id, page_number FROM doc_pages WHERE raw_text IS NOT NULL)) WHERE next_page > page_number + 1""")
+@query("""WITH p AS (SELECT DISTINCT document_id, page_number AS p FROM doc_pages), c AS (SELECT DISTINCT document_id, unnest(range(start_page, end_page + 1)) AS p FROM chunks WHERE start_page IS NOT NULL AND end_page >= start_page),
+m AS (SELECT *, p - row_number() OVER (PARTITION BY document_id ORDER BY p) AS island FROM (SELECT document_id, p FROM p EXCEPT SELECT document_id, p FROM c)) SELECT document_id, min(p) AS first_missing, max(p) AS last_missing FROM m GROUP BY document_id, island""")
 def coverage_gaps(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("page_number")
-    rows = table(s, d, "doc_pages").where("raw_text is not null").select("document_id", "page_number").distinct().withColumn("next_page", F.lead("page_number").over(w))
-    return rows.where("next_page > page_number + 1").select("document_id", (F.col("page_number") + 1).alias("first_missing"), (F.col("next_page") - 1).alias("last_missing"))
+    c = table(s, d, "chunks").where("end_page >= start_page").select("document_id", F.explode(F.sequence("start_page", "end_page")).alias("p")).distinct()
+    missing = table(s, d, "doc_pages").select("document_id", F.col("page_number").alias("p")).distinct().join(c, ["document_id", "p"], "left_anti")
+    island = F.col("p") - F.row_number().over(Window.partitionBy("document_id").orderBy("p"))
+    return missing.withColumn("island", island).groupBy("document_id", "island").agg(F.min("p").alias("first_missing"), F.max("p").alias("last_missing")).drop("island")
 
 
 @query("""SELECT document_id, CASE WHEN title IS NOT NULL AND NOT regexp_matches(lower(title), '^(https?://|untitled|document$)') THEN title ELSE first_line END AS chosen FROM (SELECT document_id, min(title) AS title FROM manifest GROUP BY 1) LEFT JOIN (SELECT document_id, min_by(line, (page_number, line_no)) AS first_line FROM (""" + PAGE_LINES + """) WHERE length(trim(line, ' ')) > 20 GROUP BY 1) USING (document_id)""")
@@ -301,9 +304,49 @@ def clean_pages(s: SparkSession, d: str) -> DataFrame:
     return bare.select("document_id", "page_number", D.clean_page_text(F.col("raw_text")).alias("text"))
 
 
-@query()
+LINE = f"SELECT document_id, page_number, line_no, trim(regexp_replace(line, '{S.BLANKS}', ' ', 'g'), ' ') AS line FROM ({PAGE_LINES})"
+NUMBER, DOT, TITLE = (f"regexp_extract(line, '{S.NUMBERED}', {k})" for k in (1, 2, 3))
+BARE = f"NOT contains({NUMBER}, '.') AND {DOT} = ''"
+CAPITALS, LETTERS = (f"length(regexp_replace({TITLE}, '[^{c}]', '', 'g'))" for c in ("A-Z", "A-Za-z"))
+REASON = f"""CASE WHEN contains(line, '|') THEN 'table_row' WHEN length(line) > 240 THEN 'too_long' WHEN regexp_matches({TITLE}, '{S.UNIT}') THEN 'quantity' WHEN regexp_matches({TITLE}, '{S.QUOTED}') THEN 'citation' WHEN regexp_matches({TITLE}, '{S.MONTH}') THEN 'date'
+WHEN coalesce(TRY_CAST(regexp_extract({NUMBER}, '^\\d+') AS HUGEINT) > 99, false) THEN 'top_number' WHEN {BARE} AND ({LETTERS} = 0 OR {CAPITALS} < {LETTERS} * 0.7 AND NOT (len(string_split({TITLE}, ' ')) <= 8 AND regexp_matches({TITLE}, '^[A-Z]') AND NOT ends_with({TITLE}, '.'))) THEN 'sentence' END"""
+EVENTS = f"""SELECT document_id, page_number, line_no, kind, CASE kind WHEN 'annex' THEN upper(regexp_extract(line, '{S.ANNEX}', 1)) WHEN 'table' THEN regexp_extract(line, '{S.TABLE}', 1) WHEN 'heading' THEN {NUMBER} END AS number,
+nullif(trim(CASE kind WHEN 'annex' THEN regexp_extract(line, '{S.ANNEX}', 2) WHEN 'table' THEN regexp_extract(line, '{S.TABLE}', 2) WHEN 'heading' THEN {TITLE} END, ' '), '') AS title,
+CASE WHEN kind <> 'heading' OR NOT ({BARE}) THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN kind = 'heading' THEN {REASON} END AS reason
+FROM (SELECT *, CASE WHEN regexp_matches(line, '{S.ANNEX}') THEN 'annex' WHEN regexp_matches(line, '{S.TABLE}') THEN 'table' WHEN regexp_matches(line, '{S.REFERENCES}') THEN 'references' WHEN {NUMBER} <> '' THEN 'heading' END AS kind FROM ({LINE})) WHERE kind IS NOT NULL"""
+UPTO = "(PARTITION BY document_id ORDER BY page_number, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND {})"
+HERE, AHEAD = UPTO.format("CURRENT ROW"), UPTO.format("1 PRECEDING")
+ORDER = "(PARTITION BY document_id ORDER BY page_number, line_no)"
+PREFIX = "array_to_string(string_split(number, '.')[1:{} + lettered], '.')"
+UPPER = ", ".join(
+    f"CASE WHEN kind = 'heading' AND level > {j} AND at{j}.segment = segment{'' if j == 0 else f' AND at{j}.number = ' + PREFIX.format(j)} THEN at{j}.ordinal END AS up{j}" for j in range(6)
+)
+TREE = f"""WITH e AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(number, '^[A-Z]') THEN 1 ELSE 0 END AS lettered, last_value(CASE WHEN kind = 'annex' THEN number END IGNORE NULLS) OVER {HERE} AS annex, count(CASE WHEN kind = 'annex' THEN 1 END) OVER {HERE} AS segment FROM ({EVENTS}) WHERE reason IS NULL),
+l AS (SELECT *, CASE kind WHEN 'annex' THEN 0 WHEN 'heading' THEN len(string_split(number, '.')) - lettered END AS level FROM e WHERE kind <> 'heading' OR lettered = 0 OR number[1] = annex),
+t AS (SELECT *, lag(kind) OVER {ORDER} AS after, last_value(CASE WHEN level = 1 THEN number END IGNORE NULLS) OVER {AHEAD} AS top FROM l),
+n AS MATERIALIZED (SELECT *, CAST(row_number() OVER {ORDER} - 1 AS INTEGER) AS ordinal FROM t WHERE NOT coalesce(after = 'table' AND level = 1 AND lettered = 0 AND NOT coalesce(TRY_CAST(number AS BIGINT) = coalesce(TRY_CAST(top AS BIGINT), 0) + 1, false), false)),
+a AS (SELECT *, {", ".join(f"last_value(CASE WHEN level = {j} THEN {{'segment': segment, 'number': number, 'ordinal': ordinal}} END IGNORE NULLS) OVER {AHEAD} AS at{j}" for j in range(6))} FROM n),
+u AS (SELECT *, {UPPER} FROM a), v AS (SELECT *, list_filter([up0, up1, up2, up3, up4, up5], lambda x: x IS NOT NULL) AS up, coalesce(CASE level WHEN 1 THEN up0 WHEN 2 THEN up1 WHEN 3 THEN up2 WHEN 4 THEN up3 WHEN 5 THEN up4 WHEN 6 THEN up5 END, -1) >= 0 AS near FROM u),
+w AS (SELECT * REPLACE (CASE WHEN kind = 'table' THEN coalesce(last_value(CASE WHEN kind IN ('heading', 'annex') THEN list_append(up, ordinal) END IGNORE NULLS) OVER {AHEAD}, []) ELSE up END AS up) FROM v),
+z AS MATERIALIZED (SELECT *, greatest(page_number, coalesce(lead(page_number) OVER {ORDER}, last_page)) AS own_end FROM w JOIN (SELECT document_id, max(page_number) AS last_page FROM ({PAGES}) GROUP BY 1) USING (document_id)),
+r AS (SELECT document_id, ordinal, max(own_end) AS end_page FROM (SELECT document_id, unnest(list_append(up, ordinal)) AS ordinal, own_end FROM z) GROUP BY 1, 2)
+SELECT document_id, ordinal, CASE WHEN kind <> 'heading' THEN kind WHEN level = 1 AND lettered = 0 THEN 'section' WHEN len(string_split(number, '.')) <= 2 THEN 'clause' ELSE 'subclause' END AS type, number, title, confidence, page_number AS start_page, end_page, line_no AS start_line, up[-1] AS parent_ordinal, coalesce(contains(number, '.') AND NOT near AND kind = 'heading', false) AS missing_parent FROM z JOIN r USING (document_id, ordinal)"""
+
+
+def page_events(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    some = pages(s, d)
+    return some, S.line_events(D.lines_of(some, ["document_id", "page_number"], "raw_text"), ["document_id", "page_number", "line_no"], "line")
+
+
+@query(f"SELECT document_id, page_number, line_no, number, title, reason FROM ({EVENTS}) WHERE reason IS NOT NULL")
+def ambiguous_headings(s: SparkSession, d: str) -> DataFrame:
+    return page_events(s, d)[1].where("reason is not null").select("document_id", "page_number", "line_no", "number", "title", "reason")
+
+
+@query(TREE)
 def structure_tree(s: SparkSession, d: str) -> DataFrame:
-    return D.structure_nodes(pages(s, d), "document_id", "page_number", "raw_text")
+    some, events = page_events(s, d)
+    return S.document_tree(events.where("reason is null"), some, "document_id", "page_number", "line_no")
 
 
 def budgets(s: SparkSession, d: str) -> dict[str, D.Budgets]:
@@ -322,6 +365,7 @@ def split_nodes(s: SparkSession, d: str) -> DataFrame:
     return D.split_rows(newest.select("document_id", "ordinal", "row.*"), ["document_id", "ordinal"], "text", budgets(s, d), "default", "context_prefix", "config_id")
 
 
-@query()
+@query(r"""WITH u AS (SELECT document_id, upper(substr(source_url, 1, 5)) || substr(source_url, 6, 1000) || '#part' AS u FROM manifest WHERE source_url IS NOT NULL)
+SELECT document_id, CASE WHEN regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1) = '' THEN u ELSE lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') || regexp_extract(u, '(\?[^#]*)', 1) END AS url FROM u""")
 def canonical_urls(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "manifest").where("source_url is not null").select("document_id", T.canonical_url(F.concat(F.upper(F.substring("source_url", 1, 5)), F.substring("source_url", 6, 1000), F.lit("#part"))).alias("url"))

@@ -288,15 +288,15 @@ def lexical_overlap(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hash_embed(s: SparkSession, d: str) -> DataFrame:
-    embed = R.hash_embedding(256)
+    embed = R.hash_embedding()
     return table(s, d, "documents").select("doc_id", embed(F.col("text")).alias("v")).select("doc_id", F.round(T.l2_norm(F.col("v")), 4).alias("length"), F.size("v").alias("dimension"))
 
 
 def hybrid(s: SparkSession, d: str, queries: DataFrame) -> DataFrame:
-    embed = R.hash_embedding(256)
+    embed = R.hash_embedding()
     docs = chunks(s, d).where("text is not null").select(F.col("chunk_id").alias("key"), "text")
     vectors = docs.select("key", embed(F.col("text")).alias("vector"))
-    return R.hybrid_search(s, docs, vectors, queries.withColumn("vector", embed(F.col("query"))), 256)
+    return R.hybrid_search(s, docs, vectors, queries.withColumn("vector", embed(F.col("query"))), R.HASH_DIMENSION)
 
 
 @query()

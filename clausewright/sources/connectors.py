@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,17 +67,19 @@ def seed_missing(existing: DataFrame, seeds: DataFrame, key: list[str]) -> DataF
     return existing.unionByName(seeds.dropDuplicates(key).join(existing.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
-def jdbc_url(url: str) -> str:
-    """A JDBC URL for a postgres:// or postgresql:// URL; others are kept."""
-    for head in ("postgres://", "postgresql://", "postgresql+asyncpg://"):
-        if url.startswith(head):
-            return "jdbc:postgresql://" + url[len(head) :].rpartition("@")[2]
-    return url
+def jdbc_options(url: str) -> dict[str, str]:
+    """JDBC options of a postgres:// or postgresql:// URL: url, and user and password if it has them; others are kept."""
+    given = urlsplit(url)
+    if given.scheme not in ("postgres", "postgresql", "postgresql+asyncpg"):
+        return {"url": url}
+    place = f"jdbc:postgresql://{given.netloc.rpartition('@')[2]}{given.path}{'?' + given.query if given.query else ''}"
+    login = {"user": given.username, "password": given.password}
+    return {"url": place} | {k: unquote(v) for k, v in login.items() if v}
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, **options: str) -> DataFrame:
     """A database table, read in ``parts`` ranges of a numeric column when bounds are given."""
-    reader = spark.read.format("jdbc").option("url", jdbc_url(url)).option("dbtable", name).options(**options)
+    reader = spark.read.format("jdbc").options(**jdbc_options(url)).option("dbtable", name).options(**options)
     if column and bounds:
         reader = reader.option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return reader.load()
@@ -105,10 +108,13 @@ def load_index(spark: SparkSession, path: str, source_hash: str | None = None) -
     return spark.read.parquet(f"{path}/vectors"), meta
 
 
-def frontier(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def frontier(links: DataFrame, seeds: DataFrame, depth: int, domain: Column | None = None, per_domain: int | None = None) -> DataFrame:
     """Breadth-first crawl over known links (source, target) from seeds (node): node, depth, at most ``depth`` steps.
 
-    Each step joins only the newest nodes; a node keeps its least depth.
+    Each step joins only the newest nodes; a node keeps its least depth. With
+    ``per_domain`` (the crawl's politeness limit) at most so many nodes of a
+    ``domain``, an expression over node, are taken up, nearer and then
+    smaller ones first; seeds count and always stay.
     """
     from ..storage import materialize
 
@@ -116,6 +122,10 @@ def frontier(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     newest = seen
     for step in range(1, depth + 1):
         reached = newest.join(links, newest["node"] == links["source"]).select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        if per_domain is not None and domain is not None:
+            used = seen.groupBy(domain.alias("site")).agg(F.count(F.lit(1)).alias("used"))
+            place = F.row_number().over(Window.partitionBy("site").orderBy("node"))
+            reached = reached.withColumn("site", domain).withColumn("place", place).join(used, "site", "left").where(F.col("place") + F.coalesce("used", F.lit(0)) <= per_domain).select("node")
         newest = materialize(reached.withColumn("depth", F.lit(step)))
         if newest.isEmpty():
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -76,83 +77,150 @@ class Page(HTMLParser):
         return next((t for name, kind, t in self.marked if t and (name in kinds or set(kind.split()) & set(kinds))), None)
 
 
-def _day(text: str) -> str | None:
-    return next((m[1] for p in DATED if (m := p.search(text))), None)
+@dataclass(frozen=True)
+class Field:
+    """Where a field of a record comes from: the first of its finders that gives something."""
 
+    name: str
+    finders: tuple[Callable[[Scope], object], ...]
 
-def notice(url: str, page: Page) -> list[dict]:
-    """A notice: title, standards, date, publisher, product."""
-    text = "\n".join(page.lines)
-    product = page.first("product-name", "item-description")
-    for header, row in zip(page.rows, page.rows[1:], strict=False):
-        for k, cell in enumerate(header):
-            if product is None and "product" in cell.lower() and k < len(row):
-                product = row[k]
-    publisher = re.search(r"(?i)\b(?:department|ministry|government of)\b[^\n]{0,100}", text)
-    return [{"kind": "notice", "title": page.first("h1", "page-title", "heading") or page.title or "Notice", "standards": list(dict.fromkeys(STANDARD.findall(text))), "date": _day(text), "publisher": publisher and publisher[0].strip(), "name": product, "code": None, "state": None, "status": None, "licence_class": "full_text_ok"}]
 
+@dataclass(frozen=True)
+class Scope:
+    """The part of a page that one record describes, and the page."""
 
-def listing(url: str, page: Page) -> list[dict]:
-    """A catalogue page: its title and first standard; only metadata may be kept."""
-    found = STANDARD.findall("\n".join(page.lines))
-    return [{"kind": "listing", "title": page.title or "Catalogue", "standards": found[:1], "date": None, "publisher": None, "name": None, "code": None, "state": None, "status": None, "licence_class": "metadata_only"}]
+    page: Page
+    text: str
+    parts: tuple[str, ...] = ()
 
 
-def laboratories(url: str, page: Page) -> list[dict]:
-    """One row per table row with a laboratory: code of seven or eight digits, name, standards, state, status."""
-    out = []
-    for row in page.rows:
-        text = " ".join(row)
-        code = re.search(r"\b(\d{7,8})\b", text)
-        name = re.search(r"[A-Za-z][A-Za-z&.\s]{3,}", text)
-        if len(text) < 20 or not (code and name):
-            continue
-        low = text.lower()
-        status = "suspended" if "suspen" in low else "revoked" if "revoked" in low else "active"
-        state = STATES.search(text)
-        out.append({"kind": "laboratory", "title": page.title, "standards": STANDARD.findall(text), "date": None, "publisher": None, "name": name[0].strip(), "code": code[1], "state": state and state[1], "status": status, "licence_class": "full_text_ok"})
-    return out
+@dataclass(frozen=True)
+class Rule:
+    """How the records of one kind are read from a page: the parts that become records, what a record needs, its fields."""
+
+    kind: str
+    licence_class: str
+    fields: tuple[Field, ...]
+    parts: Callable[[Page], list[Scope]]
+    needs: tuple[str, ...] = ()
+
+
+def marked(*kinds: str) -> Callable[[Scope], object]:
+    """Text of the page's first element with one of the classes or tags."""
+    return lambda s: s.page.first(*kinds)
+
+
+def matched(pattern: str | re.Pattern, group: int = 0) -> Callable[[Scope], object]:
+    """The first match in the part's text."""
+    p = re.compile(pattern)
+    return lambda s: m[group].strip() if (m := p.search(s.text)) else None
+
+
+def word_of(words: dict[str, str], otherwise: str) -> Callable[[Scope], object]:
+    """What the first of the words found in the part stands for."""
+    return lambda s: next((to for w, to in words.items() if w in s.text.lower()), otherwise)
+
+
+def below(header: str) -> Callable[[Scope], object]:
+    """The cell under the first header cell that holds a word."""
+
+    def find(s: Scope) -> object:
+        cells = ((row, k) for head, row in zip(s.page.rows, s.page.rows[1:], strict=False) for k, cell in enumerate(head) if header in cell.lower())
+        return next((row[k] for row, k in cells if k < len(row)), None)
+
+    return find
+
+
+def standards(most: int | None = None) -> Callable[[Scope], object]:
+    """Distinct standard numbers of the part in order."""
+    return lambda s: list(dict.fromkeys(STANDARD.findall(s.text)))[:most]
 
 
-def questions(url: str, page: Page) -> list[dict]:
-    """Question and answer pairs of a page of questions."""
-    asks = [t for _, kind, t in page.marked if set(kind.split()) & {"question", "faq-question", "accordion-button"}]
-    answers = [t for _, kind, t in page.marked if set(kind.split()) & {"answer", "faq-answer", "accordion-content"}]
-    return [{"kind": "question", "title": q, "standards": STANDARD.findall(a), "date": None, "publisher": None, "name": a, "code": None, "state": None, "status": None, "licence_class": "metadata_only"} for q, a in zip(asks, answers, strict=False) if q and a]
+def titled(s: Scope) -> object:
+    return s.page.title
 
 
-def regulation(url: str, page: Page) -> list[dict]:
-    """A scheme or regulation: title, first standard, dates of amendment or effect."""
-    text = "\n".join(page.lines)
-    title = re.search(r"(?i)(?:hallmarking|scheme|regulation)[^\n]{0,200}", text)
-    amended = re.search(rf"(?i)(?:amendment|amdt)[^\d]*{DAY}", text)
-    return [{"kind": "regulation", "title": title[0].strip() if title else page.title, "standards": STANDARD.findall(text)[:1], "date": amended[1] if amended else _day(text), "publisher": None, "name": None, "code": None, "state": None, "status": None, "licence_class": "metadata_only"}]
+def part(k: int) -> Callable[[Scope], object]:
+    return lambda s: s.parts[k]
 
 
-REGISTRY: dict[str, Callable[[str, Page], list[dict]]] = {"qco": notice, "kys_catalogue": listing, "lab_list": laboratories, "hallmarking": questions, "scheme_regulation": regulation}
-ALIASES = {"quality_control_order": "qco", "know_your_standards": "kys_catalogue", "laboratories": "lab_list", "faq": "hallmarking", "regulation": "scheme_regulation"}
+def constant(value: str) -> Callable[[Scope], object]:
+    return lambda s: value
+
+
+def whole(page: Page) -> list[Scope]:
+    """The page as one part."""
+    return [Scope(page, "\n".join(page.lines))]
+
+
+def table_rows(least: int) -> Callable[[Page], list[Scope]]:
+    """Table rows of at least so many characters."""
+    return lambda page: [Scope(page, text) for row in page.rows if len(text := " ".join(row)) >= least]
+
+
+def paired(first: set[str], second: set[str]) -> Callable[[Page], list[Scope]]:
+    """Elements of the first classes with those of the second, in order, where both hold text."""
+
+    def find(page: Page) -> list[Scope]:
+        of = lambda classes: [t for _, kind, t in page.marked if classes & set(kind.split())]
+        return [Scope(page, b, (a, b)) for a, b in zip(of(first), of(second), strict=False) if a and b]
+
+    return find
+
+
+DATES = Field("date", tuple(map(lambda p: matched(p, 1), DATED)))
+CODE, NAME = r"\b(\d{7,8})\b", r"[A-Za-z][A-Za-z&.\s]{3,}"
+RULES = {
+    "qco": Rule(
+        "notice", "full_text_ok",
+        (Field("title", (marked("h1", "page-title", "heading"), titled, constant("Notice"))), Field("standards", (standards(),)), DATES,
+         Field("publisher", (matched(r"(?i)\b(?:department|ministry|government of)\b[^\n]{0,100}"),)), Field("name", (marked("product-name", "item-description"), below("product")))),
+        whole,
+    ),
+    "kys_catalogue": Rule("listing", "metadata_only", (Field("title", (titled, constant("Catalogue"))), Field("standards", (standards(1),))), whole),
+    "lab_list": Rule(
+        "laboratory", "full_text_ok",
+        (Field("title", (titled,)), Field("standards", (standards(),)), Field("code", (matched(CODE, 1),)), Field("name", (matched(NAME),)),
+         Field("state", (matched(STATES, 1),)), Field("status", (word_of({"suspen": "suspended", "revoked": "revoked"}, "active"),))),
+        table_rows(20), ("code", "name"),
+    ),
+    "hallmarking": Rule("question", "metadata_only", (Field("title", (part(0),)), Field("name", (part(1),)), Field("standards", (standards(),))), paired({"question", "faq-question", "accordion-button"}, {"answer", "faq-answer", "accordion-content"})),
+    "scheme_regulation": Rule(
+        "regulation", "metadata_only",
+        (Field("title", (matched(r"(?i)(?:hallmarking|scheme|regulation)[^\n]{0,200}"), titled)), Field("standards", (standards(1),)), Field("date", (matched(rf"(?i)(?:amendment|amdt)[^\d]*{DAY}", 1), *DATES.finders))),
+        whole,
+    ),
+    "indigenous_pdf": Rule("standard", "full_text_ok", (Field("standards", (standards(1),)), Field("title", (lambda s: next((x for x in s.page.lines[:5] if not re.match(r"\d+(?:\.\d+)*\s|IS\s*\d", x)), None),))), whole),
+}
+GENERIC = Rule("generic", "metadata_only", (Field("title", (titled,)), Field("standards", (lambda s: [],))), whole)
+ALIASES = {"quality_control_order": "qco", "know_your_standards": "kys_catalogue", "laboratories": "lab_list", "faq": "hallmarking", "regulation": "scheme_regulation", "scheme_guideline": "scheme_regulation", "testing_manual": "indigenous_pdf", "product_manual": "indigenous_pdf"}
 FIELDS = "kind string, title string, standards array<string>, date string, publisher string, name string, code string, state string, status string, licence_class string"
+NAMES = tuple(f.split()[0] for f in FIELDS.split(", "))
+
+
+def records(rule: Rule, page: Page) -> list[dict]:
+    """The records a rule reads from a page; a part that lacks what the rule needs gives none."""
+    out = []
+    for scope in rule.parts(page):
+        found = {f.name: next((v for find in f.finders if (v := find(scope))), None) for f in rule.fields}
+        if all(found[n] for n in rule.needs):
+            out.append(dict.fromkeys(NAMES) | {"kind": rule.kind, "licence_class": rule.licence_class, "standards": []} | {k: v for k, v in found.items() if v})
+    return out
 
 
-def parser_for(source_type: str | None) -> Callable[[str, Page], list[dict]] | None:
-    """The parser of a source type or alias; None for an unknown one."""
-    return REGISTRY.get(ALIASES.get(source_type or "", source_type or ""))
+def rule_for(source_type: str | None) -> Rule | None:
+    """The rule of a source type or alias; None for an unknown one."""
+    return RULES.get(ALIASES.get(source_type or "", source_type or ""))
 
 
 def parse_pages(pages: DataFrame, key: str, url: str, html: str, source_type: str) -> DataFrame:
-    """Records of every page by the parser of its source type; an unknown type gives one generic record."""
-    names = [f.split()[0] for f in FIELDS.split(", ")]
+    """Records of every page by the rule of its source type; an unknown type gives one generic record."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for k, u, h, t in frame.itertuples(index=False):
-                page = Page(h or "")
-                parse = parser_for(t)
-                records = parse(u or "", page) if parse else [dict.fromkeys(names) | {"kind": "generic", "title": page.title or None, "standards": [], "licence_class": "metadata_only"}]
-                out += [(k, u, *(r[n] for n in names)) for r in records]
-            yield pd.DataFrame(out, columns=["key", "url", *names])
+            out = [(k, u, *(r[n] for n in NAMES)) for k, u, h, t in frame.itertuples(index=False) for r in records(rule_for(t) or GENERIC, Page(h or ""))]
+            yield pd.DataFrame(out, columns=["key", "url", *NAMES])
 
     return pages.select(key, url, html, source_type).mapInPandas(run, f"key {kind}, url string, {FIELDS}")
 

@@ -37,14 +37,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release() -> None:
-    """Delete every intermediate table this process wrote."""
+    """Delete every intermediate table this process wrote; results that still read them must be written before."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans up
             return
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
 from clausewright.operators import documents as D
+from clausewright.operators import structure as S
 
 
 def one(spark, column, text, kind="string"):
@@ -50,15 +51,38 @@ def test_clauses_and_fallback(spark):
     assert {(r.doc, r.chunk_index) for r in chunks} == {(1, 0), (1, 1), (1, 2), (2, 0)}
 
 
+def tree(spark, pages):
+    df = spark.createDataFrame(pages, "doc string, page int, text string")
+    events = S.line_events(D.lines_of(df, ["doc", "page"], "text"), ["doc", "page", "line_no"], "line")
+    return events, S.document_tree(events.where("reason is null"), df, "doc", "page", "line_no")
+
+
 def test_structure(spark):
-    text = "Foreword\n\n4 REQUIREMENTS\nIntro\n4.1 General\nBody\n4.1.1 Safety\nRequirement\n4 230 V\n5.3.2 Far\nANNEX A Tests\nA.1 Scope\nTABLE 1 Sizes\n12/03/2024"
-    pages = spark.createDataFrame([("d", 1, text), ("d", 2, "A.1.1 More\nIS 5 reference")], "doc string, page int, text string")
-    nodes = {r.number: r for r in D.structure_nodes(pages, "doc", "page", "text").collect()}
+    text = "Foreword\n\n4 REQUIREMENTS\nIntro\n4.1 General\nBody\n4.1.1 Safety\nRequirement\n4 230 V\n5.3.2 Far\nANNEX A Tests\nA.1 Scope\nTABLE 1 Sizes\n9 Rows\n12/03/2024"
+    _, found = tree(spark, [("d", 1, text), ("d", 2, "A.1.1 More\nIS 5 reference\nB.1 Other annex\n5 NEXT\nNormative references"), ("e", 1, None), ("e", 2, "4.1 Lone")])
+    rows = found.collect()
+    nodes = {r.number: r for r in rows if r.doc == "d"}
     assert [nodes[n].type for n in ("4", "4.1", "4.1.1")] == ["section", "clause", "subclause"]
     assert nodes["4.1.1"].parent_ordinal == nodes["4.1"].ordinal and nodes["4.1"].parent_ordinal == nodes["4"].ordinal
     assert nodes["5.3.2"].missing_parent and nodes["A"].type == "annex" and nodes["A.1"].end_page == 2
-    assert "230" not in nodes and nodes["1"].type == "table"
-    assert D.structure_nodes(pages.where("page > 9"), "doc", "page", "text").count() == 0
+    assert nodes["A.1.1"].parent_ordinal == nodes["A.1"].ordinal and nodes["A.1"].parent_ordinal == nodes["A"].ordinal and nodes["1"].parent_ordinal == nodes["A.1"].ordinal
+    assert "230" not in nodes and nodes["1"].type == "table" and "B.1" not in nodes and "9" not in nodes and nodes[None].type == "references"
+    assert [r.parent_ordinal for r in rows if r.doc == "e"] == [None]
+    assert tree(spark, [])[1].count() == 0
+
+
+def test_lines_that_are_no_headings(spark):
+    lines = ["4 230 V", "3 mm gap", "12 March 2024 was a day", "100 General", "2 IS 5 applies", "4.2 a | b", "7 " + "x" * 250, "3 the sealed part carries more words than a heading has.", "3. Scope", "2 Short title", "4.1 lower", "55555555555555555555 Far"]
+    events, _ = tree(spark, [("d", k, t) for k, t in enumerate(lines)])
+    got = {r.page: r.reason for r in events.collect()}
+    assert got == {0: "quantity", 1: "quantity", 2: "date", 3: "top_number", 4: "citation", 5: "table_row", 6: "too_long", 7: "sentence", 8: None, 9: None, 10: None, 11: "top_number"}
+
+
+def test_depth_of_long_chains_orphans_and_cycles(spark):
+    chain = [("d", k, k - 1 if k else None) for k in range(1000)]
+    odd = [("d", 2000, 3000), ("c", 1, 2), ("c", 2, 1), ("c", 3, None), ("c", 4, 3), ("c", 4, 3)]
+    got = {(r.doc, r.k): r.depth for r in S.tree_depth(spark.createDataFrame(chain + odd, "doc string, k int, up int"), "doc", "k", "up").collect()}
+    assert got == {("d", k): k + 1 for k in range(1000)} | {("c", 3): 1, ("c", 4): 2}
 
 
 def test_pages_cleaning_and_margins(spark):

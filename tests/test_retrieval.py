@@ -24,11 +24,12 @@ def brute_bm25(docs, query):
     return {k: round(s, 6) for k, s in scores.items()}
 
 
-@pytest.mark.parametrize("blocks_from", [200, 0])
-def test_bm25(spark, blocks_from):
+@pytest.mark.parametrize("batch", [4096, 2])
+def test_bm25(spark, batch, monkeypatch):
+    monkeypatch.setattr(R, "BATCH", batch)
     docs = spark.createDataFrame(DOCS, "key string, text string")
     asked = [("1", "kettle test test"), ("2", "IS 367:1993"), ("3", "nothing")]
-    got = R.bm25(docs, "key", "text", spark.createDataFrame(asked, "query_id string, query string"), 3, blocks_from).collect()
+    got = R.bm25(docs, "key", "text", spark.createDataFrame(asked, "query_id string, query string"), 3).collect()
     for q, text in asked:
         want = brute_bm25(DOCS, text)
         assert {r.key: r.score for r in got if r.query_id == q} == pytest.approx({k: want[k] for k in sorted(want, key=lambda k: (-want[k], k))[:3]}, abs=2e-6)
@@ -41,11 +42,12 @@ def test_fusion_value(spark):
     assert got["a"] == (round(2 / 61, 8), 1) and got["b"] == (round(1 / 62, 8), 2) and got["c"][1] == 3
 
 
-def test_exact_knn(spark):
+@pytest.mark.parametrize("budget", [1 << 20, 64])
+def test_exact_knn(spark, budget):
     x = np.random.default_rng(1).normal(size=(300, 8)).astype(np.float32)
     rows = [(k, x[k].tolist()) for k in range(300)] + [(999, None), (998, [1.0])]
     df = spark.createDataFrame(rows, "key long, v array<float>")
-    got = R.exact_knn(df, "key", "v", df.where("key < 5").selectExpr("key as query_id", "v as vector"), 8, 4, block=2).collect()
+    got = R.exact_knn(df, "key", "v", df.where("key < 5").selectExpr("key as query_id", "v as vector"), 8, 4, budget=budget).collect()
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     for q in range(5):
@@ -120,3 +122,11 @@ def test_hybrid_many_answers_every_query(spark):
     for r in P.hybrid(spark, root, queries.where(F.col("query_id").isin(some))).collect():
         alone.setdefault(r.query_id, []).append((r["rank"], r.key, r.fusion_score, r.rerank_score))
     assert {q: sorted(many[q]) for q in some} == {q: sorted(alone[q]) for q in some}
+
+
+def test_exact_knn_equal_scores_go_by_key(spark):
+    rows = [(f"k{k:04d}", [1.0, 0.0] if k % 3 else [0.0, 1.0]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "key string, v array<float>").repartition(5)
+    asked = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0])], "query_id string, vector array<float>")
+    got = {(r.query_id, r["rank"]): r.key for r in R.exact_knn(df, "key", "v", asked, 2, 3).collect()}
+    assert got == {("a", 1): "k0001", ("a", 2): "k0002", ("a", 3): "k0004", ("b", 1): "k0000", ("b", 2): "k0003", ("b", 3): "k0006"}

@@ -52,7 +52,14 @@ def test_frontier_and_seed(spark):
     have, new = spark.createDataFrame([("a", 1)], "k string, v int"), spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int")
     assert {tuple(r) for r in K.seed_missing(have, new, ["k"]).collect()} == {("a", 1), ("b", 3)}
     assert K.retry_delays(5) == [1.0, 2.0, 4.0, 8.0, 8.0]
-    assert K.jdbc_url("postgres://u:p@host:5432/db") == "jdbc:postgresql://host:5432/db"
+    assert K.jdbc_options("postgres://u:p%40x@host:5432/db?ssl=true") == {"url": "jdbc:postgresql://host:5432/db?ssl=true", "user": "u", "password": "p@x"}
+    assert K.jdbc_options("jdbc:h2:mem:x") == {"url": "jdbc:h2:mem:x"}
+
+
+def test_frontier_keeps_the_limit_of_a_domain(spark):
+    links = spark.createDataFrame([("a/0", f"{d}/{k}") for d in "ab" for k in range(1, 6)] + [("b/1", "b/9")], "source string, target string")
+    got = {r.node for r in K.frontier(links, spark.createDataFrame([("a/0",)], "node string"), 3, F.substring("node", 1, 1), 3).collect()}
+    assert got == {"a/0", "a/1", "a/2", "b/1", "b/2", "b/3"}
 
 
 HTML = """<html><head><title>T &amp; U</title><script>x()</script></head><body><h1>Order on kettles</h1><p>Ministry of Steel</p><p>Enforcement from 12 March 2025, IS 367:1993</p>
@@ -63,16 +70,17 @@ HTML = """<html><head><title>T &amp; U</title><script>x()</script></head><body><
 def test_pages(spark):
     page = P.Page(HTML)
     assert page.title == "T & U" and page.links == ["/a"] and "x()" not in "\n".join(page.lines)
-    note = P.notice("u", page)[0]
+    read = lambda t: P.records(P.rule_for(t), page)
+    note = read("qco")[0]
     assert (note["title"], note["date"], note["name"], note["publisher"]) == ("Order on kettles", "12 March 2025", "Kettle", "Ministry of Steel")
-    lab = P.laboratories("u", page)[0]
+    (lab,) = read("lab_list")
     assert (lab["code"], lab["state"], lab["status"], lab["standards"]) == ("8123456", "Delhi", "suspended", ["IS 15:2001"])
-    assert P.questions("u", page)[0]["title"] == "Why?" and P.regulation("u", page)[0]["standards"] == ["IS 367:1993"]
+    assert read("faq")[0]["title"] == "Why?" and read("regulation")[0]["standards"] == ["IS 367:1993"] and read("indigenous_pdf")[0]["title"] == "T & U"
     rows = spark.createDataFrame([(1, "https://h/x", HTML, "qco"), (2, None, None, "odd"), (3, None, HTML, "laboratories")], "k long, u string, h string, t string")
     got = {(r.key, r.kind) for r in P.parse_pages(rows, "k", "u", "h", "t").collect()}
     assert got == {(1, "notice"), (2, "generic"), (3, "laboratory")}
     texts = {r.key: r for r in P.page_texts(rows, "k", "u", "h").collect()}
-    assert texts[1].links == ["https://h/a"] and texts[2].text == "" and P.parser_for(None) is None
+    assert texts[1].links == ["https://h/a"] and texts[2].text == "" and P.rule_for(None) is None
 
 
 def test_words(spark):
