@@ -165,3 +165,14 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 if either vector is all zero."""
     return F.coalesce(F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b)), F.lit(0.0))
+
+
+def citation_parts(text: Column) -> Column:
+    """A text cut at its inline citations, which are parts of their own."""
+    return F.regexp_extract_all(text, F.lit(r"\[E\d+\]|[^\[]+|\["), F.lit(0))
+
+
+def error_token(text: Column, otherwise: str = "unknown_error") -> Column:
+    """A foreign error code if it is a plain short token, else ``otherwise``; nothing else of it may reach a log."""
+    token = F.lower(F.trim(text))
+    return F.when(token.rlike(r"^[a-z0-9_.-]{1,64}$"), token).otherwise(otherwise)

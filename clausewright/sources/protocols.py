@@ -6,6 +6,7 @@ import re
 from collections import deque
 from collections.abc import Iterable
 from dataclasses import dataclass
+from hashlib import blake2b
 from typing import Protocol
 
 
@@ -17,6 +18,26 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class HashEmbedder:
+    """An embedder without a model: signed hashes of a text's words; an empty text is refused."""
+
+    def __init__(self, dimension: int) -> None:
+        self.dimension = dimension
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            if not t:
+                raise ValueError("empty text")
+            v = [0.0] * self.dimension
+            for w in re.findall(r"\w+", t.lower()):
+                h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "big")
+                v[h % self.dimension] += 1.0 if h >> 63 else -1.0
+            n = sum(x * x for x in v) ** 0.5 or 1.0
+            out.append([x / n for x in v])
+        return out
+
+
 class PageReader(Protocol):
     """Bytes of a document to its pages' texts (PDF text, OCR)."""
 

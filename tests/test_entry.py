@@ -25,7 +25,8 @@ def sql():
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).columns == ["query_id", "key", "score", "rank"] or entry.entry(spark).count() >= 0
+    df = entry.entry(spark)
+    assert df.columns == ["query_id", "key", "score", "rank"] and df.count() > 0
 
 
 def test_names():
@@ -37,6 +38,7 @@ def test_core_query_matches_sql(spark, sql, name):
     df = all_queries()[name](spark, ROOT)
     rows = df.collect()
     if name not in all_sql():
+        assert rows and len(set(df.columns)) == len(df.columns) and len({str(r) for r in rows}) > 1
         return
     rel = sql.sql(all_sql()[name])
     assert sorted(rel.columns) == sorted(df.columns)
