@@ -253,7 +253,7 @@ def core(token: str) -> str:
 
 
 def body_words(pages: DataFrame) -> DataFrame:
-    """Per page (doc, page, text, lines): words, breaks (left, right, mark), tail and head at the page's ends.
+    """Per page (doc, page, text, lines): words, breaks (left, right and both joined forms), tail, head and head_form at the page's ends.
 
     ``lines`` are the numbers of furniture lines. ``tail`` is the beginning of
     a word that the page's last body line ends with; ``head``, the first
@@ -261,9 +261,9 @@ def body_words(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
+        pair = pa.list_(pa.struct([(c, pa.string()) for c in ("left", "right", "plain", "hyphened")]))
         for batch in batches:
-            words, breaks, tails, heads = [], [], [], []
+            words, breaks, tails, heads, forms = [], [], [], [], []
             for text, skip in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
                 gone = set(skip or ())
                 body = [x.split() for k, x in enumerate(LINES.split(text)) if k not in gone and x.strip()]
@@ -283,13 +283,14 @@ def body_words(pages: DataFrame) -> DataFrame:
                             tail = line[-1]
                     mine.update(c for c in map(core, line[first:last]) if c)
                 words.append(list(mine.items()))
-                breaks.append([{"left": a, "right": b} for a, b in split_])
+                breaks.append([dict(zip(("left", "right", "plain", "hyphened"), (a, b, *join_forms(a, b)), strict=True)) for a, b in split_])
                 tails.append(tail)
                 heads.append(head)
+                forms.append(core(head) if head else None)
             counted = pa.array([[{"word": w, "n": n} for w, n in m] for m in words], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("page"), counted, pa.array(breaks, pair), pa.array(tails, pa.string()), pa.array(heads, pa.string())], ["doc", "page", "words", "breaks", "tail", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("page"), counted, pa.array(breaks, pair), pa.array(tails, pa.string()), pa.array(heads, pa.string()), pa.array(forms, pa.string())], ["doc", "page", "words", "breaks", "tail", "head", "head_form"])
 
-    return pages.select("doc", "page", "text", "lines").mapInArrow(run, "doc string, page int, words array<struct<word:string,n:int>>, breaks array<struct<left:string,right:string>>, tail string, head string")
+    return pages.select("doc", "page", "text", "lines").mapInArrow(run, "doc string, page int, words array<struct<word:string,n:int>>, breaks array<struct<left:string,right:string,plain:string,hyphened:string>>, tail string, head string, head_form string")
 
 
 def broken(token: str) -> bool:
@@ -566,14 +567,14 @@ class Repair:
         self.bodies = materialize(body_words(self.pages.join(lines, ["doc", "page"], "left")))
         ends = self.bodies.select("doc", (F.col("page") - 1).alias("page"), F.col("head").alias("right"))
         over = self.bodies.where("tail is not null").select("doc", "page", F.col("tail").alias("left")).join(ends, ["doc", "page"]).where("right is not null")
-        inside = self.bodies.select("doc", "page", F.explode("breaks").alias("b")).select("doc", "page", "b.left", "b.right")
+        inside = self.bodies.select("doc", "page", F.explode("breaks").alias("b")).select("doc", "page", "b.*")
         forms = F.udf(join_forms, "struct<plain:string,hyphened:string>", useArrow=True)
-        self.breaks = materialize(inside.unionByName(over).withColumn("f", forms("left", "right")).select("doc", "page", "left", "right", "f.plain", "f.hyphened"))
-        first = F.udf(core, "string", useArrow=True)
+        over = over.withColumn("f", forms("left", "right")).select("doc", "page", "left", "right", "f.plain", "f.hyphened")
+        self.breaks = materialize(inside.unionByName(over))
         carried = self.bodies.where("tail is not null").select("doc", (F.col("page") + 1).alias("page"))
-        heads = self.bodies.where("head is not null").select("doc", "page", "head").join(carried, ["doc", "page"], "left_anti").select("doc", "page", first("head").alias("form"), F.lit(1).alias("n")).where("form <> ''")
+        heads = self.bodies.where("head_form <> ''").select("doc", "page", F.col("head_form").alias("form"), F.lit(1).alias("n")).join(carried, ["doc", "page"], "left_anti")
         inner = self.bodies.select("doc", "page", F.explode("words").alias("w")).select("doc", "page", F.col("w.word").alias("form"), F.col("w.n").alias("n"))
-        self.words = materialize(inner.unionByName(heads))
+        self.words = inner.unionByName(heads)  # many rows, cheap to unfold again from the written pages
         counts = self.words.groupBy("form").agg(F.sum("n").alias("count"))
         both = self.breaks.select(F.explode(F.array("plain", "hyphened")).alias("form"), F.lit(0).cast("long").alias("count"))
         every = materialize(counts.unionByName(both).groupBy("form").agg(F.sum("count").alias("count")))
