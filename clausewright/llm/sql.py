@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can state."""
 
 LATEST_SCORES = """
-  SELECT query_id, chunk_id, max_by(similarity, (scored_at, similarity)) AS similarity FROM semantic_results
+  SELECT query_id, chunk_id, max_by(similarity, (scored_at, similarity)) + 0.0::DOUBLE AS similarity FROM semantic_results
   WHERE similarity IS NOT NULL AND similarity::VARCHAR <> 'nan' GROUP BY query_id, chunk_id
 """
 TOP = f"""

@@ -32,7 +32,7 @@ def latest_scores(df: DataFrame, group: str, item: str, score: str, at: str) ->
     left out. A null ``at`` is the oldest; among rows of the same ``at`` the
     highest score counts. Partial aggregation runs before the shuffle.
     """
-    value = F.col(score).cast("double")
+    value = F.col(score).cast("double") + F.lit(0.0)  # one zero only
     ok = value.isNotNull() & ~F.isnan(value) & F.col(group).isNotNull() & F.col(item).isNotNull()
     best = df.where(ok).groupBy(F.col(group).alias("g"), F.col(item).alias("i")).agg(F.max(F.struct(F.col(at).alias("at"), value.alias("s"))).alias("best"))
     return best.select("g", "i", F.col("best.s").alias("s"))
@@ -60,13 +60,15 @@ def top_n_by_bisection(scores: DataFrame, n: int, fan_out: int = 128) -> DataFra
     longest = rows.agg(F.max(F.octet_length("i"))).first()[0] or 0
     digits = _digits(-(-longest // DIGIT_BYTES))
     x = reduce(lambda rest, k: F.when(F.col("d") == k, digits[k]).otherwise(rest), range(len(digits) - 1), digits[-1])
-    play = rows.withColumns({"d": F.lit(0), "need": F.lit(n).cast("long"), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+    # The first interval of a group is that of its scores, found by one aggregation; rows are not written for it.
+    bounds = rows.groupBy("g").agg(F.min(digits[0]).alias("lo"), F.max(digits[0]).alias("hi"))
+    play = rows.join(bounds, "g").select("g", "i", "s", F.lit(0).alias("d"), F.lit(n).cast("long").alias("need"), "lo", "hi")
     chosen = None
     running = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         cell = F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * fan_out)
         placed = play.withColumn("x", x).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(fan_out - 1), cell)).otherwise(F.lit(0)).cast("int"))
-        counts = placed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo2"), F.max("x").alias("hi2"), F.first("need").alias("need2"))
+        counts = placed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo2"), F.max("x").alias("hi2"), F.min("need").alias("need2"))
         state = (
             counts.withColumn("before", F.coalesce(F.sum("c").over(running), F.lit(0)))
             .where(F.col("before") < F.col("need2"))
