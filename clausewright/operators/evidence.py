@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
 
 STATUS = ("VERIFIED", "UNVERIFIED", "REQUIRES_REVIEW")
 POSITIVE, STRONG = 0.0, 3.0
@@ -29,6 +30,7 @@ def sufficiency(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     evidence is INSUFFICIENT. The terms of a query's included evidence, which
     its budget bounds, are the only thing gathered.
     """
+    evidence = materialize(evidence)
     asked = F.coalesce("query", F.lit(""))
     structure = F.lower(F.regexp_extract(asked, r"(?i)\b((?:annex|table)\s+[A-Z0-9][A-Z0-9.-]*)", 1))
     q = queries.select(

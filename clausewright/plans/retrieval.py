@@ -345,5 +345,8 @@ def case_links(s: SparkSession, d: str) -> DataFrame:
 def standard_detail(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part").select("p_partkey", "p_brand", "p_type")
     related = p.groupBy("p_brand", "p_type").agg((F.count(F.lit(1)) - 1).alias("n_related"))
-    links = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_join(F.sort_array(F.collect_set("s_name")), "|").alias("labs"), F.countDistinct("s_suppkey").alias("n_labs"), F.countDistinct(F.concat("l_returnflag", "l_linestatus")).alias("n_tests"))
+    links = table(s, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set("l_suppkey").alias("ids"), F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("tests"))
+    names = links.select("p_partkey", F.explode("ids").alias("s_suppkey")).join(table(s, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    labs = names.groupBy("p_partkey").agg(F.array_join(F.sort_array(F.collect_set("s_name")), "|").alias("labs"), F.count(F.lit(1)).alias("n_labs"))
+    links = labs.join(links.select("p_partkey", F.size("tests").cast("long").alias("n_tests")), "p_partkey")
     return p.join(related, ["p_brand", "p_type"]).join(links, "p_partkey").select("p_partkey", "labs", "n_labs", "n_tests", "n_related")
