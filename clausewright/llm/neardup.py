@@ -18,8 +18,8 @@ anchor stay about LOAD as long as unrelated texts agree in up to 1 / SPREAD of
 their words. More min-hashes make a meeting less likely, so there are more
 blocks: enough that a pair at 0.75 agreement is missed by all with
 probability MISS, and by the check bits with 1e-6; both fall steeply above.
-The tests of a class grow as its blocks, n to the power 0.14; the work as n
-to the power 1.14. No pair of texts is formed outside an anchor, and an
+The tests of a class grow as its blocks, n to the power 0.18; the work as n
+to the power 1.18. No pair of texts is formed outside an anchor, and an
 anchor that many blocks share is divided by adaptive skew joins.
 """
 
@@ -44,8 +44,8 @@ RADIUS = 3
 SLACK = 1
 LEAST_AGREEMENT = 0.75
 MISS = 2e-5
-LOAD = 4
-SPREAD = 8
+LOAD = 1
+SPREAD = 5
 CHECK_BITS = 128
 CHECK_LIMIT = 36
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the Golay code
