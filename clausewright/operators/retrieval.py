@@ -281,8 +281,14 @@ def hash_embedding(dimension: int = HASH_DIMENSION) -> Callable:
 class Reranker:
     """Protocol of a pair scorer; the default is the share of query words in the text."""
 
+    def features(self, text: Column) -> Column:
+        """What the score needs of a query or a text, taken once of each."""
+        return T.guard_tokens(text)
+
     def column(self, query: Column, text: Column) -> Column:
-        asked, given = T.guard_tokens(query), T.guard_tokens(text)
+        return self.score(self.features(query), self.features(text))
+
+    def score(self, asked: Column, given: Column) -> Column:
         return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, given)).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
 
 

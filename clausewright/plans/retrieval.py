@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evidence as E
+from ..operators import manyfold as M
 from ..operators import retrieval as R
 from ..sources.tables import table
 from ..streaming import incremental as I
@@ -306,7 +307,8 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_many(s: SparkSession, d: str) -> DataFrame:
-    return hybrid(s, d, every_query(s, d))
+    docs = chunks(s, d).where("text is not null").select(F.col("chunk_id").alias("key"), "text")
+    return M.hybrid_many(docs, every_query(s, d))
 
 
 # incremental work, as batch and as stream
